@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sedge.operators.ordering import first_rows
@@ -33,7 +33,8 @@ def first_wins_sink(path: str, ids: list[str], order: list[str]) -> Callable[[Da
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = first_rows(batch, ids, order)
-        known = read_table(spark, path, batch.schema.add("batch", "long"))
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        known = read_table(spark, path, stored)
         earlier = known.where(F.col("batch") < number).select(*ids)
         fresh.join(earlier, ids, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
