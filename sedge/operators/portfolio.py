@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.functions.lexicon import MITIGATION, SAVINGS
-from sedge.functions.text import has_term
+from sedge.functions.text import has_term, literal
 from sedge.operators.ordering import ROWS_PER_RANGE, join_keys, positions
 
 CONFIDENCE_CAP, CONFIDENCE_FLOOR = 75, 5
@@ -27,13 +27,11 @@ def scenario_metrics(
     the projection, and per scenario only one flag per entry is aggregated.
     """
     entries = [*mitigation, *savings]
-    hit = lambda text: [F.coalesce(has_term(text, *e["match_terms"]), F.lit(False)) for e in entries]
+    hit = lambda name: [F.coalesce(has_term("text", *e["match_terms"]), F.lit(False)).alias(f"{name}{i}") for i, e in enumerate(entries)]
     grant = F.col("kind") == "grant"
     budget = F.nullif(F.col("budgetEUR"), F.lit(0).cast("long"))
     known = grant & budget.isNotNull()
-    marked = docs.select(
-        "scenario", "kind", "budgetEUR", "source", *[h.alias(f"_h{i}") for i, h in enumerate(hit(F.col("text")))]
-    )
+    marked = docs.select("scenario", "kind", "budgetEUR", "source", *hit("_h"))
     counted = marked.groupBy("scenario").agg(
         F.count("*").alias("_docs"),
         F.count_if(F.col("kind") == "policy").alias("n_policies"),
@@ -44,31 +42,34 @@ def scenario_metrics(
         *[F.bool_or(f"_h{i}").alias(f"_h{i}") for i in range(len(entries))],
     )
     if scenarios is not None:
-        joined_topics = F.lower(F.concat_ws(" ", "topics"))
-        asked = scenarios.select("scenario", *[h.alias(f"_t{i}") for i, h in enumerate(hit(joined_topics))])
+        spoken = scenarios.select("scenario", F.lower(F.concat_ws(" ", "topics")).alias("text"))
+        asked = spoken.select("scenario", *hit("_t"))
         counted = join_keys(asked, counted, ["scenario"])
         counted = counted.withColumns(
-            {f"_h{i}": F.coalesce(F.col(f"_h{i}"), F.lit(False)) | F.col(f"_t{i}") for i in range(len(entries))}
+            {f"_h{i}": F.expr(f"coalesce(_h{i}, false) OR _t{i}") for i in range(len(entries))}
         ).na.fill(0, ["_docs", "n_policies", "n_grants", "_funding", "_known"]).na.fill(False, ["_stale"])
     return _metrics(counted, mitigation, savings)
 
 
 def _metrics(counted: DataFrame, mitigation: Sequence[Mapping], savings: Sequence[Mapping]) -> DataFrame:
-    flags = [F.col(f"_h{i}") for i in range(len(mitigation) + len(savings))]
+    flags = [f"_h{i}" for i in range(len(mitigation) + len(savings))]
     topics = list(zip(flags, mitigation))
     drivers = list(zip(flags[len(mitigation):], savings))
     sectoral = [(h, e) for h, e in topics if e["gtco2e_yr"][1] > 0]
 
-    def total(pairs: Sequence, amount) -> Column:
-        return sum((F.when(h, F.lit(amount(e))).otherwise(amount(e) * 0) for h, e in pairs), F.lit(0))
+    def total(pairs: Sequence, kind: str, amount) -> Column:
+        parts = [f"if({h}, {amount(e)!r}, 0)" for h, e in pairs] or ["0"]
+        return F.expr(f"cast({' + '.join(parts)} AS {kind})")
 
     def listed(pairs: Sequence, value) -> Column:
-        return F.array_compact(F.array(*[F.when(h, value(e)) for h, e in pairs]))
+        return F.expr(f"array_compact(array({', '.join(f'if({h}, {value(e)}, NULL)' for h, e in pairs)}))")
+
+    def example(e: Mapping) -> str:
+        tasks = ", ".join(map(literal, e["example_tasks"][:2]))
+        return f"named_struct('topic', {literal(e['topic'])}, 'tasks', array({tasks}))"
 
     with_tasks = sorted((p for p in sectoral if p[1].get("example_tasks")), key=lambda p: -p[1]["score"])
-    example = lambda e: F.struct(
-        F.lit(e["topic"]).alias("topic"), F.array(*[F.lit(t) for t in e["example_tasks"][:2]]).alias("tasks")
-    )
+    topic = lambda e: literal(e["topic"])
     out = counted.select(
         "scenario",
         "n_policies",
@@ -76,14 +77,14 @@ def _metrics(counted: DataFrame, mitigation: Sequence[Mapping], savings: Sequenc
         F.floor(F.col("_funding") * 0.25 + 0.5).cast("long").alias("funding_low_eur"),
         F.col("_funding").alias("funding_high_eur"),
         (F.col("n_grants") - F.col("_known")).alias("funding_unknown"),
-        total(drivers, lambda e: int(e["save_eur_yr"][0])).cast("long").alias("save_low_eur"),
-        total(drivers, lambda e: int(e["save_eur_yr"][1])).cast("long").alias("save_high_eur"),
-        listed(drivers, lambda e: F.lit(e["driver"])).alias("matched_savers"),
-        total(topics, lambda e: e["score"]).cast("long").alias("co2_index"),
-        total(topics, lambda e: float(e["gtco2e_yr"][0])).cast("double").alias("co2_low_gt"),
-        total(topics, lambda e: float(e["gtco2e_yr"][1])).cast("double").alias("co2_high_gt"),
-        listed(topics, lambda e: F.lit(e["topic"])).alias("matched_topics"),
-        listed(sectoral, lambda e: F.lit(e["topic"])).alias("sectoral_topics"),
+        total(drivers, "bigint", lambda e: e["save_eur_yr"][0]).alias("save_low_eur"),
+        total(drivers, "bigint", lambda e: e["save_eur_yr"][1]).alias("save_high_eur"),
+        listed(drivers, lambda e: literal(e["driver"])).alias("matched_savers"),
+        total(topics, "bigint", lambda e: e["score"]).alias("co2_index"),
+        total(topics, "double", lambda e: e["gtco2e_yr"][0]).alias("co2_low_gt"),
+        total(topics, "double", lambda e: e["gtco2e_yr"][1]).alias("co2_high_gt"),
+        listed(topics, topic).alias("matched_topics"),
+        listed(sectoral, topic).alias("sectoral_topics"),
         F.slice(listed(with_tasks, example), 1, 2).alias("example_tasks"),
         F.col("_docs"),
         F.col("_stale"),

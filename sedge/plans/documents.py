@@ -170,10 +170,8 @@ WORDS = ["the", "eau", "ing on"]
     ) + " FROM documents"
 )
 def whole_word_match(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.lower("text")
-    return table(spark, sf, "documents").select(
-        "doc_id", *[has_term(text, w).alias(f"has_{w.replace(' ', '_')}") for w in WORDS]
-    )
+    lowered = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return lowered.select("doc_id", *[has_term("text", w).alias(f"has_{w.replace(' ', '_')}") for w in WORDS])
 
 
 @registry.query(
