@@ -1,3 +1,157 @@
-from sedge.plans.registry import Registry
+"""Source, sink and provenance queries: the tables are written, read back and checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sedge.operators.cleaning import numeric_columns
+from sedge.operators.splitting import hash_split
+from sedge.plans import documents as finder_plans
+from sedge.plans.literature import codes
+from sedge.plans.registry import Registry, table
+from sedge.plans.sensor import split_sql
+from sedge.session import scratch_path
+from sedge.sources import provenance, tables
 
 registry = Registry()
+
+
+@registry.query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderstatus AS status FROM orders"""
+)
+def raw_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "raw")
+    price = F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(","))
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias(" key "),
+        F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(price).alias(" price"),
+        F.col("o_orderstatus").alias("status "),
+    )
+    raw.write.csv(path, header=True, sep=";", encoding="utf-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = numeric_columns(tables.read_raw(spark, path), ["price"])
+    return back.select(F.col("key").cast("long").alias("o_orderkey"), "price", "status")
+
+
+@registry.query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE {split_sql('o_orderkey')} = 'validation'")
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "splits")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    tables.write_splits(hash_split(rows, ["o_orderkey"]), path)
+    return tables.read_split(spark, path, "validation")
+
+
+@registry.query(
+    """SELECT 'codes' AS name, count(*) AS n, NULL::BIGINT AS none FROM (
+  SELECT unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_type FROM part
+  UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part WHERE p_size % 2 = 0)
+UNION ALL SELECT 'papers', count(*), count(*) FILTER (p_size = 13) FROM part"""
+)
+def literature_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers and codes written and read back; the country ``None`` stays a value, an empty one is NULL."""
+    folder = scratch_path(spark, "literature")
+    country = F.when(F.col("p_size") == 13, F.lit(None).cast("string")).otherwise(F.lit("None"))
+    papers = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), country.alias("countries_mentioned")
+    )
+    tables.write_tables({"papers.csv": papers, "codes_long.csv": codes(spark, sf)}, folder)
+    papers_back, codes_back = tables.read_literature(spark, folder)
+    count = F.count("*").alias("n")
+    return codes_back.agg(F.lit("codes").alias("name"), count, F.lit(None).cast("long").alias("none")).unionByName(
+        papers_back.agg(F.lit("papers").alias("name"), count, F.count_if(F.col("countries_mentioned").isNull()).alias("none"))
+    )
+
+
+@registry.query(
+    f"WITH {finder_plans.DOCS} SELECT id, kind, 'cache' AS source FROM docs WHERE {finder_plans.KEYWORD_HIT}"
+)
+def snapshot_search(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "snapshot")
+    tables.write_snapshot(finder_plans.documents(spark, sf), path, finder_plans.KEYWORDS)
+    return tables.search_snapshot(spark, [path + "-missing", path], finder_plans.KEYWORDS).select("id", "kind", "source")
+
+
+@registry.query(
+    """SELECT 'prepare' AS stage, '{"rows": ' || count(*) || '}' AS payload FROM orders
+UNION ALL SELECT 'train', '{"rows": ' || count(*) || '}' FROM lineitem"""
+)
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "runs")
+    for stage, name in (("prepare", "orders"), ("train", "lineitem")):
+        provenance.append_run_log(spark, path, stage, {"rows": table(spark, sf, name).count()})
+    return provenance.read_run_log(spark, path).select("stage", "payload")
+
+
+@registry.query()
+def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.fingerprints(spark, sf, "*.parquet").drop("path")
+
+
+@registry.query()
+def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The table files against a manifest with right, wrong, absent and unknown checksums and a missing file."""
+    files = provenance.fingerprints(spark, sf, "*.parquet")
+    checksum = (
+        F.when(F.col("key") == "orders.parquet", F.concat(F.lit("md5:"), F.lpad(F.lit("0"), 32, "0")))
+        .when(F.col("key") == "part.parquet", "")
+        .when(F.col("key") == "nation.parquet", "sha256:abc")
+        .otherwise(F.concat(F.lit("md5:"), F.upper("md5")))
+    )
+    listed = files.select("key", F.col("length").alias("size"), checksum.alias("checksum"))
+    gone = files.where("key = 'region.parquet'").select(
+        F.lit("gone.parquet").alias("key"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("checksum")
+    )
+    return provenance.verify_manifest(listed.unionByName(gone), files).select("key", "found", "ok")
+
+
+@registry.query()
+def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    files = provenance.list_files(spark, sf, "*.parquet")
+    wanted = {"files": [f"{sf}/orders.parquet", f"{sf}/orders.parquet", "Train/X_train.csv"], "results": [f"{sf}/part.parquet"]}
+    asked = provenance.resolve_release(wanted, sf)
+    return provenance.release_manifest(spark, asked, files).select("position", "name", "missing", "collides")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as landed archive records with zero to two files."""
+    s = F.col("s_suppkey")
+    one = F.concat(F.lit('{"key":"a'), s, F.lit('.csv","size":'), s, F.lit(',"checksum":"md5:ab"}'))
+    files = F.when(s % 3 == 0, "").when(s % 3 == 1, one).otherwise(F.concat(one, F.lit(","), one))
+    line = F.concat(
+        F.lit('{"id":'), s, F.lit(',"doi":"10.1/x.'), s, F.lit('","metadata":{"title":"'), "s_name",
+        F.lit('","publication_date":"2026-06-18","resource_type":{"title":"Dataset"}},"files":['), files,
+        F.lit('],"links":{"self_html":"https://a.org/'), s, F.lit('"}}'),
+    )
+    return table(spark, sf, "supplier").select(F.from_json(line, provenance.ARCHIVE_RECORD).alias("r")).select("r.*")
+
+
+@registry.query(
+    """SELECT s_suppkey AS record_id, '10.1/x.' || s_suppkey AS doi, s_name AS title, '2026-06-18' AS publication_date, 'Dataset' AS resource_type,
+  (s_suppkey % 3)::INTEGER AS n_files, 'https://a.org/' || s_suppkey AS html FROM supplier"""
+)
+def record_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    flat = provenance.record_summaries(records(spark, sf))
+    return flat.withColumn("n_files", F.size("files")).drop("files")
+
+
+@registry.query(
+    """SELECT s_suppkey AS record_id, '10.1/x.' || s_suppkey AS doi, CASE WHEN s_suppkey % 3 > 0 THEN 'a' || s_suppkey || '.csv' END AS key,
+  CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey END AS size, CASE WHEN s_suppkey % 3 > 0 THEN 'md5:ab' END AS checksum
+FROM supplier, range(greatest(s_suppkey % 3, 1))"""
+)
+def record_files(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.record_files(records(spark, sf))
+
+
+@registry.query(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_orderkey::VARCHAR END AS record FROM orders"""
+)
+def record_ids(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    form = (
+        F.when(k % 5 == 0, F.concat(F.lit(" 10.5281/zenodo."), k))
+        .when(k % 5 == 1, F.concat(F.lit("https://archive.org/records/"), k, F.lit("?x=1")))
+        .when(k % 5 == 2, k.cast("string"))
+        .when(k % 5 == 3, F.concat(F.lit("https://archive.org/record/"), k))
+        .otherwise(F.concat(F.lit("not-a-doi "), k))
+    )
+    return table(spark, sf, "orders").select(k, provenance.record_id(form).alias("record"))

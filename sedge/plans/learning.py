@@ -1,3 +1,170 @@
-from sedge.plans.registry import Registry
+"""Model queries: regressors over line items, text coders over labeled documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sedge.operators import coder, regress
+from sedge.operators.splitting import hash_split
+from sedge.plans.registry import Registry, table
+from sedge.plans.sensor import split_sql
+from sedge.session import scratch_path
 
 registry = Registry()
+
+ID = ["l_orderkey", "l_linenumber"]
+
+
+def line_split(spark: SparkSession, sf: str) -> DataFrame:
+    return hash_split(table(spark, sf, "lineitem"), ID)
+
+
+LINE_SPLIT = split_sql("l_orderkey || ':' || l_linenumber")
+
+
+@registry.query(
+    f"""WITH rows AS (SELECT l_quantity AS x, l_extendedprice AS y, {LINE_SPLIT} AS split FROM lineitem),
+fit AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM rows WHERE split = 'train'),
+m AS (SELECT split, sqrt(avg(pow(y - a * x - b, 2))) AS rmse, 1 - sum(pow(y - a * x - b, 2)) / (var_pop(y) * count(*)) AS r2
+      FROM rows, fit WHERE split <> 'train' GROUP BY split)
+SELECT 'linreg' AS model, round(max(rmse) FILTER (split = 'test'), 3) AS rmse_test, round(max(r2) FILTER (split = 'test'), 6) AS r2_test,
+  round(max(rmse) FILTER (split = 'validation'), 3) AS rmse_val, round(max(r2) FILTER (split = 'validation'), 6) AS r2_val FROM m"""
+)
+def regression_line(spark: SparkSession, sf: str) -> DataFrame:
+    done = regress.train_models(line_split(spark, sf), ["l_quantity"], "l_extendedprice", ID, enabled=["linreg"])
+    rounded = [F.round(c, d).alias(c) for c, d in (("rmse_test", 3), ("r2_test", 6), ("rmse_val", 3), ("r2_val", 6))]
+    return done.leaderboard.select("model", *rounded)
+
+
+def _board(done: regress.Trained) -> DataFrame:
+    return done.leaderboard.drop("fit_seconds")
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@registry.query()
+def regression_linear(spark: SparkSession, sf: str) -> DataFrame:
+    done = regress.train_models(line_split(spark, sf), FEATURES, "l_extendedprice", ID, enabled=["linreg", "enet", "unknown"])
+    return _board(done)
+
+
+TREE_GRIDS = {
+    "rf": {"n_estimators": [20], "max_depth": [5, 10], "min_samples_split": [2]},
+    "gbr": {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3]},
+}
+
+
+@registry.query()
+def regression_trees(spark: SparkSession, sf: str) -> DataFrame:
+    done = regress.train_models(
+        line_split(spark, sf), FEATURES, "l_extendedprice", ID, enabled=["rf", "gbr"], grids=TREE_GRIDS, folds=3
+    )
+    return _board(done)
+
+
+# --- text coders ------------------------------------------------------------
+
+
+def labeled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Labeled documents as rows ``(doc_id, text, task, label)``."""
+    labels = table(spark, sf, "labels").select(
+        "doc_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("quality").alias("task"), F.col("quality").alias("y")),
+                F.struct(F.lit("toxic").alias("task"), F.col("toxic").alias("y")),
+            )
+        ),
+    )
+    label = F.when(F.col("y") == 1, "yes").when(F.col("y") == 0, "no")
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    return labels.select("doc_id", "task", label.alias("label")).join(texts, "doc_id")
+
+
+LABELS = """
+labeled AS (
+  SELECT doc_id, 'quality' AS task, CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS label, text FROM labels JOIN documents USING (doc_id)
+  UNION ALL SELECT doc_id, 'toxic', CASE toxic WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END, text FROM labels JOIN documents USING (doc_id))
+"""
+
+
+@registry.query(f"WITH {LABELS} SELECT task, label, count(*) AS n FROM labeled WHERE label IS NOT NULL GROUP BY ALL")
+def class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return coder.class_counts(labeled_documents(spark, sf))
+
+
+@registry.query(
+    f"""WITH {LABELS} SELECT doc_id, label, ((row_number() OVER (PARTITION BY label
+  ORDER BY substr(md5('42:' || doc_id), 1, 13), doc_id) - 1) % 5)::INTEGER AS fold FROM labeled WHERE task = 'quality'"""
+)
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = labeled_documents(spark, sf).where("task = 'quality'")
+    return coder.with_folds(rows, "doc_id", 5).select("doc_id", "label", "fold")
+
+
+def rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of two fixed rules in five folds, to check the scores against SQL."""
+    rules = F.array(
+        F.struct(F.lit("long").alias("model"), F.when(F.length("text") > 1500, "yes").otherwise("no").alias("predicted")),
+        F.struct(F.lit("vowel").alias("model"), F.when(F.contains("text", F.lit("the")), "yes").otherwise("maybe").alias("predicted")),
+    )
+    fold = F.pmod(F.col("doc_id"), F.lit(5)).cast("int").alias("fold")
+    return labeled_documents(spark, sf).select("task", fold, "doc_id", "label", F.inline(rules))
+
+
+PREDICTIONS = f"""{LABELS},
+predictions AS (
+  SELECT task, 'long' AS model, (doc_id % 5)::INTEGER AS fold, label, CASE WHEN length(text) > 1500 THEN 'yes' ELSE 'no' END AS predicted FROM labeled
+  UNION ALL SELECT task, 'vowel', (doc_id % 5)::INTEGER, label, CASE WHEN contains(text, 'the') THEN 'yes' ELSE 'maybe' END FROM labeled),
+classes AS (SELECT DISTINCT task, model, fold, unnest([label, predicted]) AS class FROM predictions),
+per_class AS (
+  SELECT c.task, c.model, c.fold, class, count(*) FILTER (label = class AND predicted = class) AS tp,
+    count(*) FILTER (label = class AND predicted <> class) AS fn, count(*) FILTER (label <> class AND predicted = class) AS fp
+  FROM classes c JOIN predictions p ON p.task = c.task AND p.model = c.model AND p.fold = c.fold GROUP BY ALL),
+folds AS (
+  SELECT p.task, p.model, p.fold, f1, avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END) AS accuracy, count(*) AS n
+  FROM predictions p JOIN (SELECT task, model, fold, avg(2 * tp / (2 * tp + fn + fp)) AS f1 FROM per_class GROUP BY ALL) f
+    ON f.task = p.task AND f.model = p.model AND f.fold = p.fold GROUP BY ALL),
+summary AS (
+  SELECT task, model, round(avg(f1), 6) AS f1_macro, round(stddev_pop(f1), 6) AS f1_macro_std, round(avg(accuracy), 6) AS accuracy,
+    sum(n)::BIGINT AS n, count(*) AS cv_folds FROM folds GROUP BY ALL)
+"""
+
+
+def _rounded_summary(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("f1_macro", "f1_macro_std", "accuracy")})
+
+
+@registry.query(f"WITH {PREDICTIONS} SELECT * FROM summary")
+def coder_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_summary(coder.cv_summary(coder.fold_scores(rule_predictions(spark, sf))))
+
+
+@registry.query(
+    f"WITH {PREDICTIONS} SELECT * FROM summary QUALIFY row_number() OVER (PARTITION BY task ORDER BY f1_macro DESC, accuracy DESC, model) = 1"
+)
+def best_coders(spark: SparkSession, sf: str) -> DataFrame:
+    scores = _rounded_summary(coder.cv_summary(coder.fold_scores(rule_predictions(spark, sf))))
+    return coder.best_per_task(scores)
+
+
+@registry.query(f"WITH {PREDICTIONS} SELECT task, model, label, predicted, count(*) AS n FROM predictions GROUP BY ALL")
+def coder_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return coder.confusion(rule_predictions(spark, sf))
+
+
+@registry.query()
+def text_coder_cv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = labeled_documents(spark, sf).where("task = 'quality'")
+    done = coder.evaluate_task(rows, "quality", "doc_id", models=["logreg", "linear_svc", "nb"], cv=3)
+    return coder.cv_summary(coder.fold_scores(done.predictions))
+
+
+@registry.query()
+def coder_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = labeled_documents(spark, sf)
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "coder")
+    coder.run_coding(texts, rows.select("doc_id", "task", "label"), folder, "doc_id", models=["nb"], cv=2)
+    return coder.predict_codes(folder, texts.withColumnRenamed("text", "body"), F.col("body")).drop("body")
