@@ -68,7 +68,7 @@ common AS (SELECT freq.* FROM freq, floor WHERE df >= least_df),
 inside AS (SELECT kind, word, max(df) AS pair FROM (
   SELECT kind, df, unnest(string_split(term, ' ')) AS word FROM common WHERE contains(term, ' ')) GROUP BY ALL),
 pruned AS (SELECT c.* FROM common c LEFT JOIN inside i ON i.kind = c.kind AND i.word = c.term WHERE i.pair IS NULL OR i.pair < c.df)
-SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY df DESC, term) AS rank, term, df FROM pruned QUALIFY rank <= 15"""
+SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY df DESC, term))::INTEGER AS rank, term, df FROM pruned QUALIFY rank <= 15"""
 )
 def top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.top_terms(documents(spark, sf))

@@ -98,7 +98,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "csv") -
     for name, df in tables.items():
         path = f"{folder.rstrip('/')}/{name}"
         out = _flat(df) if form == "csv" else df
-        out.write.mode("overwrite").options(**({"header": "true"} if form == "csv" else {})).format(form).save(path)
+        settings = {"header": "true", "escape": '"'} if form == "csv" else {}
+        out.write.mode("overwrite").options(**settings).format(form).save(path)
         written[name] = path
     return written
 
