@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedge.operators.ordering import join_keys
+from sedge.operators.ordering import attach
 
 
 def _rmse(y: Column, p: Column) -> Column:
@@ -61,7 +61,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, keys: Sequence[str] =
         F.when(low < high, high).otherwise(high + 0.5).alias("_hi"),
     )
     if keys:
-        placed = join_keys(df.where(x.isNotNull()), edges, keys)
+        placed = attach(df.where(x.isNotNull()), edges, keys)
     else:
         box = edges.select(F.struct("_lo", "_hi").alias("b")).scalar()
         placed = df.where(x.isNotNull()).withColumn("_b", box).withColumns({"_lo": F.col("_b._lo"), "_hi": F.col("_b._hi")})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sedge.functions.lexicon import GEO_LEVELS
 from sedge.functions.text import split_list, strip
 from sedge.operators.ordering import join_keys
+from sedge.session import materialized
 
 MAX_PIVOT = 500
 PAIRS_PER_TASK = 4_000_000
@@ -53,11 +54,13 @@ def code_by_sector(
     return counts.orderBy(F.desc("total"), "code").limit(top)
 
 
-def _frequent(codes: DataFrame, dimension: str, min_count: int) -> DataFrame:
-    """Distinct ``(paper_id, code)`` of the codes that reach ``min_count`` papers."""
-    assigned = codes.where(F.col("dimension") == dimension).select("paper_id", "code").distinct()
-    kept = assigned.groupBy("code").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_count)
-    return assigned.join(kept.select("code"), "code", "left_semi")
+def _frequent(codes: DataFrame, dimensions: Sequence[str], min_count: int) -> DataFrame:
+    """Distinct ``(paper_id, dimension, code)`` of the codes that reach ``min_count`` papers."""
+    known = F.col("paper_id").isNotNull() & F.col("code").isNotNull()
+    chosen = codes.where(F.col("dimension").isin(*dimensions) & known)
+    assigned = chosen.select("paper_id", "dimension", "code").distinct()
+    kept = assigned.groupBy("dimension", "code").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_count)
+    return assigned.join(kept.select("dimension", "code"), ["dimension", "code"], "left_semi")
 
 
 def code_cooccurrence(
@@ -65,24 +68,25 @@ def code_cooccurrence(
 ) -> DataFrame:
     """Papers in which a code of each dimension appears, as rows ``(code_a, code_b, papers)``.
 
-    Rare codes go before the join. A paper whose codes make more than
+    Rare codes go before the join, and what is left is written once, since both
+    sides of the join read it. A paper whose codes make more than
     ``pairs_per_task`` pairs is spread over salted parts: its first side is dealt
     out, its second side goes to every part, and each pair still meets once.
     """
-    a = _frequent(codes, dim_a, min_count).withColumnRenamed("code", "code_a")
-    b = _frequent(codes, dim_b, min_count).withColumnRenamed("code", "code_b")
-    sizes = (
-        a.groupBy("paper_id").agg(F.count("*").alias("_a"))
-        .join(b.groupBy("paper_id").agg(F.count("*").alias("_b")), "paper_id")
-        .where(F.col("_a") * F.col("_b") > pairs_per_task)
-        .select("paper_id", F.ceil(F.col("_a") * F.col("_b") / pairs_per_task).cast("int").alias("_parts"))
-    )
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = a.join(sizes, "paper_id", "left").withColumn("_part", F.pmod(F.xxhash64("code_a"), parts).cast("int"))
-    copied = b.join(sizes, "paper_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = dealt.select("paper_id", "_part", "code_a").join(
-        copied.select("paper_id", "_part", "code_b"), ["paper_id", "_part"]
-    )
+    frequent = materialized(_frequent(codes, [dim_a, dim_b], min_count), "frequent-codes")
+    side = lambda dim, name: frequent.where(F.col("dimension") == dim).select("paper_id", F.col("code").alias(name))
+    a, b = side(dim_a, "code_a"), side(dim_b, "code_b")
+    of = lambda dim: F.count_if(F.col("dimension") == dim)
+    sizes = frequent.groupBy("paper_id").agg((of(dim_a) * of(dim_b)).alias("_pairs"))
+    hot = sizes.where(F.col("_pairs") > pairs_per_task)
+    if hot.isEmpty():
+        met = a.join(b, "paper_id")
+    else:
+        spread = hot.select("paper_id", F.ceil(F.col("_pairs") / pairs_per_task).cast("int").alias("_parts"))
+        parts = F.coalesce("_parts", F.lit(1))
+        dealt = a.join(spread, "paper_id", "left").withColumn("_part", F.pmod(F.xxhash64("code_a"), parts).cast("int"))
+        copied = b.join(spread, "paper_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        met = dealt.drop("_parts").join(copied.drop("_parts"), ["paper_id", "_part"])
     return met.groupBy("code_a", "code_b").agg(F.count("*").alias("papers"))
 
 

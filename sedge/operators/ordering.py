@@ -79,6 +79,22 @@ def join_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{n}" for n in names])
 
 
+MAX_LOCAL_GROUPS = 10_000
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of per-group statistics, NULL keys included.
+
+    Up to ``MAX_LOCAL_GROUPS`` groups are fetched and sent along with the plan,
+    so a large table with a handful of groups is never shuffled by them. With
+    more groups it is an ordinary join.
+    """
+    few = stats.limit(MAX_LOCAL_GROUPS + 1).collect()
+    if len(few) > MAX_LOCAL_GROUPS:
+        return join_keys(df, stats, keys)
+    return join_keys(df, F.broadcast(df.sparkSession.createDataFrame(few, stats.schema)), keys)
+
+
 def running_total(
     df: DataFrame,
     value: Column | str,
@@ -147,9 +163,11 @@ def positions(
     name: str,
     keys: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add a dense 0-based position per key: gap-free ids without a one-task window."""
-    ranked = running_total(df, F.lit(1).cast("long"), keys, order, name, rows_per_range=rows_per_range)
+    cuts = order_cuts(df, order, rows_per_range, rows)
+    ranked = running_total(df, F.lit(1).cast("long"), keys, order, name, cuts)
     return ranked.withColumn(name, F.col(name) - 1)
 
 

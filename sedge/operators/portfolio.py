@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedge.functions.lexicon import MITIGATION, SAVINGS
 from sedge.functions.text import has_term, literal
 from sedge.operators.ordering import ROWS_PER_RANGE, join_keys, positions
+from sedge.session import materialized
 
 CONFIDENCE_CAP, CONFIDENCE_FLOOR = 75, 5
 
@@ -189,8 +190,11 @@ def rank_sums(
             "_s": -(F.col("save_low_eur") + F.col("save_high_eur")),
         }
     )
+    rows = metrics.count()
+    if rows > rows_per_range:  # each ranking then reads its input twice
+        judged = materialized(judged, "portfolio")
     for measure in ("_f", "_c", "_s"):
-        judged = positions(judged, [measure, index], f"{measure}_rank", portfolio, rows_per_range)
+        judged = positions(judged, [measure, index], f"{measure}_rank", portfolio, rows_per_range, rows)
     ranks = [F.col(f"{m}_rank") for m in ("_f", "_c", "_s")]
     return judged.withColumn("rank_sum", ranks[0] + ranks[1] + ranks[2]).drop(
         *[f"{m}{s}" for m in ("_f", "_c", "_s") for s in ("", "_rank")]

@@ -22,7 +22,7 @@ from sedge.functions.columns import (
 from sedge.functions.formula import compile_formula
 from sedge.functions.lexicon import PROXY_ASSUMPTIONS
 from sedge.functions.numbers import clip, finite_or_null
-from sedge.operators.ordering import join_keys
+from sedge.operators.ordering import attach
 from sedge.operators.scaling import Bounds, by_bounds, fixed_bounds, with_bounds
 
 WEIGHTS = {"time": 0.40, "temperature": 0.40, "stirring": 0.20}
@@ -134,7 +134,7 @@ def _along_axis(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> D
     axes = energy_axes(df, columns, keys)
     fit = F.struct("loadings", "centre", "spread").alias("_fit")
     if keys:
-        out = join_keys(df, axes.select(*keys, fit), keys)
+        out = attach(df, axes.select(*keys, fit), keys)
     else:
         out = df.withColumn("_fit", axes.select(fit).scalar())
     score = F.lit(0.0)

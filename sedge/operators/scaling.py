@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.functions.numbers import finite_or_null, scaled
-from sedge.operators.ordering import join_keys
+from sedge.operators.ordering import attach
 
 Bounds = Mapping[str, tuple[float, float]]
 
@@ -15,8 +15,7 @@ Bounds = Mapping[str, tuple[float, float]]
 def with_bounds(df: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """Add a struct ``_bounds`` with ``<name>_lo`` and ``<name>_hi`` of each value.
 
-    Without keys the bounds are one scalar subquery; with keys they are joined,
-    and Spark broadcasts them only when their measured size allows.
+    Without keys the bounds are one scalar subquery, with keys one row per group.
     """
     pairs = []
     for name, x in values.items():
@@ -24,7 +23,7 @@ def with_bounds(df: DataFrame, values: Mapping[str, Column], keys: Sequence[str]
         pairs += [F.min(x).alias(f"{name}_lo"), F.max(x).alias(f"{name}_hi")]
     if not keys:
         return df.withColumn("_bounds", df.agg(F.struct(*pairs).alias("b")).scalar())
-    return join_keys(df, df.groupBy(*keys).agg(F.struct(*pairs).alias("_bounds")), keys)
+    return attach(df, df.groupBy(*keys).agg(F.struct(*pairs).alias("_bounds")), keys)
 
 
 def fixed_bounds(df: DataFrame, bounds: Bounds) -> DataFrame:

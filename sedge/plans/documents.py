@@ -16,7 +16,7 @@ registry = Registry()
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by their first line and whole text; the source's number decides the kind."""
     even = F.substring("source", 4, 9).cast("int") % 2 == 0
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("id"),
         F.when(even, "policy").otherwise("grant").alias("kind"),
         F.substring_index("text", "\n", 1).alias("title"),
@@ -170,7 +170,7 @@ WORDS = ["the", "eau", "ing on"]
     ) + " FROM documents"
 )
 def whole_word_match(spark: SparkSession, sf: str) -> DataFrame:
-    lowered = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    lowered = table(spark, sf, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"))
     return lowered.select("doc_id", *[has_term("text", w).alias(f"has_{w.replace(' ', '_')}") for w in WORDS])
 
 
@@ -201,7 +201,7 @@ CLEAN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[\t-\r\x
 
 @registry.query(f"SELECT page_id, {CLEAN.format('html')} AS text FROM pages")
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", without_markup("html").alias("text"))
+    return table(spark, sf, "pages", "page_id").select("page_id", without_markup("html").alias("text"))
 
 
 def _field(key: str, value: Column) -> Column:
@@ -259,7 +259,7 @@ def grant_records(spark: SparkSession, sf: str) -> DataFrame:
     fields = F.array_join(named, ",")
     reference = F.when(p % 14 != 0, F.concat(F.lit('"reference":"ref-'), p, F.lit('",'))).otherwise("")
     line = F.concat(F.lit("{"), reference, F.lit('"url":"http://x/'), p, F.lit('","metadata":{'), fields, F.lit("}}"))
-    lines = table(spark, sf, "pages").select(p, line.alias("value"))
+    lines = table(spark, sf, "pages", "page_id").select(p, line.alias("value"))
     copies = lines.select(p, "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     landed = copies.select((F.col("copy") * 1_000_000_000 + p).alias("_landed"), "value")
     return finder.parse_records(landed, finder.GRANT_RECORD)
@@ -305,7 +305,7 @@ def policy_records(spark: SparkSession, sf: str) -> DataFrame:
     boxed = lambda c, n: F.struct(c.cast("string").alias("value")).alias(n)
     kind = F.get(F.array(*[F.lit(k) for k in POLICY_KINDS]), (i % 5).cast("int"))
     date = F.concat((2008 + i % 15).cast("string"), F.lit("-0"), (1 + i % 9).cast("string"), F.lit("-15T00:00:00"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         boxed(F.concat(F.lit("http://cellar/"), i), "work"),
         boxed(F.when(i % 11 != 0, F.concat(F.lit("<p>"), F.substring_index("text", "\n", 1))), "title"),
         boxed(date, "date"),

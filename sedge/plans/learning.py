@@ -16,7 +16,7 @@ ID = ["l_orderkey", "l_linenumber"]
 
 
 def line_split(spark: SparkSession, sf: str) -> DataFrame:
-    return hash_split(table(spark, sf, "lineitem"), ID)
+    return hash_split(table(spark, sf, "lineitem", "l_orderkey"), ID)
 
 
 LINE_SPLIT = split_sql("l_orderkey || ':' || l_linenumber")

@@ -32,5 +32,13 @@ class Registry:
         self.sql |= other.sql
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, deal: str | None = None) -> DataFrame:
+    """A table; with ``deal`` its rows are dealt out by that column when its files make fewer tasks than cores.
+
+    For work that is heavy per row: a small file is one task, however long its texts take.
+    """
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if deal is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, deal)

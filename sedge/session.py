@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "sedge", partitions: int = 8) -> SparkSession:
@@ -36,3 +36,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/sedge-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared scratch folder and read back.
+
+    For a result that several branches of a plan read and that is much smaller
+    than its source. Unlike a cache it survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
