@@ -29,11 +29,10 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
-def scaled(x: Column, low: Column, high: Column) -> Column:
-    """``(x - low) / (high - low)``; 0 on every row when the range is flat, infinite or unknown."""
-    span = F.abs(high - low)
-    usable = F.coalesce((span >= 1e-12) & (span < float("inf")), F.lit(False))
-    return F.when(~usable, F.lit(0.0)).otherwise((x - low) / F.when(usable, high - low))
+def is_flat(low: Column, high: Column) -> Column:
+    """True when a range is too narrow, infinite or unknown to scale by."""
+    span = high - low
+    return ~F.coalesce((span >= 1e-12) & (span < float("inf")), F.lit(False))
 
 
 CLOCK = r"^(-?)(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$"

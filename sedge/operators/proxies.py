@@ -50,6 +50,26 @@ def _inputs(df: DataFrame, y_pred: str, drivers: Mapping[str, str | None]) -> di
     return {**found, "y_pred": F.col(f"`{y_pred}`")}
 
 
+def _scores(df: DataFrame, energy: Column, names: tuple[str, str, str]) -> DataFrame:
+    """Energy, CO2 and circularity columns; ``_y`` holds the scaled output."""
+    e = F.col(names[0])
+    return df.withColumn(names[0], energy).withColumns(
+        {names[1]: _co2(e, F.col("_y")), names[2]: _circularity(e, F.col("_y"))}
+    )
+
+
+def _weighted(df: DataFrame, inputs: Mapping[str, Column], weights: Mapping[str, float]) -> DataFrame:
+    energy = F.lit(0.0)
+    for role in ("time", "temperature", "stirring"):
+        if role in inputs:
+            energy = energy + F.lit(float(weights[role])) * by_bounds(role, inputs[role])
+    return _scores(df, energy, ("energy_proxy", "co2_proxy", "mci_proxy"))
+
+
+def _with_output(df: DataFrame, y_pred: str) -> DataFrame:
+    return df.withColumn("_y", by_bounds("y_pred", F.col(f"`{y_pred}`")))
+
+
 def weighted_proxies(
     df: DataFrame,
     y_pred: str = "y_pred",
@@ -63,14 +83,8 @@ def weighted_proxies(
     ``bounds`` freezes the scaling to known ranges, for rows that arrive later.
     """
     inputs = _inputs(df, y_pred, drivers or fixed_drivers(df.columns))
-    out = fixed_bounds(df, bounds) if bounds is not None else with_bounds(df, inputs, keys)
-    energy = F.lit(0.0)
-    for role in ("time", "temperature", "stirring"):
-        if role in inputs:
-            energy = energy + F.lit(float(weights[role])) * by_bounds(role, inputs[role])
-    out = out.withColumns({"energy_proxy": energy, "_y": by_bounds("y_pred", inputs["y_pred"])})
-    e, y = F.col("energy_proxy"), F.col("_y")
-    return out.withColumns({"co2_proxy": _co2(e, y), "mci_proxy": _circularity(e, y)}).drop("_bounds", "_y")
+    bounded = fixed_bounds(df, bounds) if bounds is not None else with_bounds(df, inputs, keys)
+    return _weighted(_with_output(bounded, y_pred), inputs, weights).drop("_bounds", "_y")
 
 
 def training_bounds(
@@ -152,6 +166,17 @@ def pca_mode(columns: Sequence[str], candidates: Iterable[str] = PCA_NAMES) -> t
     return modes.get(len(used), "pca"), used
 
 
+def _with_axis(df: DataFrame, used: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Add ``_axis``: the score on the first axis, the only column itself, or 0 without any."""
+    if len(used) > 1:
+        return _along_axis(df, used, keys)
+    only = F.coalesce(finite_or_null(F.col(f"`{used[0]}`")), F.lit(0.0)) if used else F.lit(0.0)
+    return df.withColumn("_axis", only)
+
+
+PCA_SCORES = ("energy_pca_proxy", "co2_pca_proxy", "mci_pca_proxy")
+
+
 def pca_proxies(
     df: DataFrame,
     y_pred: str = "y_pred",
@@ -162,79 +187,92 @@ def pca_proxies(
 
     One driver alone is scaled directly; without any, energy is 0. NULL drivers count as 0.
     """
-    mode, used = pca_mode(df.columns, candidates)
-    if mode == "pca":
-        scored = _along_axis(df, used, keys)
-    elif used:
-        scored = df.withColumn("_axis", F.coalesce(finite_or_null(F.col(f"`{used[0]}`")), F.lit(0.0)))
-    else:
-        scored = df.withColumn("_axis", F.lit(0.0))
+    scored = _with_axis(df, pca_mode(df.columns, candidates)[1], keys)
     inputs = {"axis": F.col("_axis"), "y_pred": F.col(f"`{y_pred}`")}
-    out = with_bounds(scored, inputs, keys)
-    out = out.withColumns(
-        {"energy_pca_proxy": by_bounds("axis", inputs["axis"]), "_y": by_bounds("y_pred", inputs["y_pred"])}
-    )
-    e, y = F.col("energy_pca_proxy"), F.col("_y")
-    return out.withColumns({"co2_pca_proxy": _co2(e, y), "mci_pca_proxy": _circularity(e, y)}).drop(
-        "_bounds", "_y", "_axis"
-    )
+    out = _with_output(with_bounds(scored, inputs, keys), y_pred)
+    return _scores(out, by_bounds("axis", inputs["axis"]), PCA_SCORES).drop("_bounds", "_y", "_axis")
 
 
-def assumed_proxies(
-    df: DataFrame,
-    config: Mapping = PROXY_ASSUMPTIONS,
-    y_pred: str = "y_pred",
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Add ``energy_assumed`` and one ``<metric>_assumed`` per formula of the config.
-
-    Unlike :func:`weighted_proxies` the weights apply to raw driver values and
-    the sum is scaled.
-    """
-    drivers = config.get("drivers", {})
+def _checked(config: Mapping) -> Mapping:
+    """The config, or an error that says what is wrong with it."""
+    drivers, energy, metrics = (config.get(k, {}) for k in ("drivers", "energy", "metrics"))
     for name, names in drivers.items():
         if not isinstance(names, list):
             raise ValueError(f"drivers.{name} must be a list of column candidates")
-    energy_config = config.get("energy", {})
-    method = energy_config.get("method", "weighted_sum")
-    normalize = energy_config.get("normalize", "minmax")
-    weights = energy_config.get("weights", {})
-    if method != "weighted_sum":
+    if (method := energy.get("method", "weighted_sum")) != "weighted_sum":
         raise ValueError(f"unsupported energy.method {method!r}")
-    if normalize not in ("minmax", "none"):
+    if (normalize := energy.get("normalize", "minmax")) not in ("minmax", "none"):
         raise ValueError(f"unsupported energy.normalize {normalize!r}")
-    if not weights:
+    if not energy.get("weights"):
         raise ValueError("energy.weights is missing or empty")
-    if unknown := [k for k in weights if k not in drivers]:
+    if unknown := [k for k in energy["weights"] if k not in drivers]:
         raise ValueError(f"energy.weights names unknown drivers {unknown}")
-    metrics = config.get("metrics", {})
     if not metrics or not all(isinstance(f, str) for f in metrics.values()):
         raise ValueError("metrics must map names to formulas")
+    return config
+
 
-    columns = {name: pick_column(df.columns, names) for name, names in drivers.items()}
+def _raw_drivers(columns: Sequence[str], config: Mapping) -> tuple[dict[str, Column], Column]:
+    """Driver values, with 0 for what is missing, and their weighted sum."""
+    picked = {name: pick_column(columns, names) for name, names in config["drivers"].items()}
     values = {
         name: F.coalesce(finite_or_null(F.col(f"`{c}`")), F.lit(0.0)) if c else F.lit(0.0)
-        for name, c in columns.items()
+        for name, c in picked.items()
     }
     raw = F.lit(0.0)
-    for name, weight in weights.items():
+    for name, weight in config["energy"]["weights"].items():
         raw = raw + F.lit(float(weight)) * values[name]
-    bounded = {"raw": F.col("_raw"), "y_pred": F.col(f"`{y_pred}`")}
-    out = with_bounds(df.withColumn("_raw", raw), bounded, keys)
-    out = out.withColumns(
-        {
-            "energy_assumed": by_bounds("raw", bounded["raw"]) if normalize == "minmax" else F.col("_raw"),
-            "_y": by_bounds("y_pred", bounded["y_pred"]),
-        }
-    )
+    return values, raw
+
+
+def _assumed(df: DataFrame, config: Mapping, y_pred: str, values: Mapping[str, Column]) -> DataFrame:
+    """Energy from ``_raw`` and the config's formulas."""
+    scale = config["energy"].get("normalize", "minmax") == "minmax"
+    out = df.withColumn("energy_assumed", by_bounds("raw", F.col("_raw")) if scale else F.col("_raw"))
     inputs = {
         "energy": F.col("energy_assumed"),
         "y_pred": finite_or_null(F.col(f"`{y_pred}`")),
         "y_pred_n": F.col("_y"),
         **values,
     }
-    formulas = {f"{name}_assumed": compile_formula(f, inputs) for name, f in metrics.items()}
-    return out.withColumns(formulas).drop("_bounds", "_raw", "_y")
+    return out.withColumns({f"{n}_assumed": compile_formula(f, inputs) for n, f in config["metrics"].items()})
+
+
+def assumed_proxies(
+    df: DataFrame,
+    config: Mapping = PROXY_ASSUMPTIONS,
+    y_pred: str = "y_pred",
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Add ``energy_assumed`` and one ``<metric>_assumed`` per formula of the config.
+
+    Unlike :func:`weighted_proxies` the weights apply to raw driver values and
+    the sum is scaled.
+    """
+    values, raw = _raw_drivers(df.columns, _checked(config))
+    inputs = {"raw": F.col("_raw"), "y_pred": F.col(f"`{y_pred}`")}
+    out = _with_output(with_bounds(df.withColumn("_raw", raw), inputs, keys), y_pred)
+    return _assumed(out, config, y_pred, values).drop("_bounds", "_raw", "_y")
+
+
+def all_proxies(
+    df: DataFrame, y_pred: str = "y_pred", config: Mapping | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The scores of every method; the assumed ones only with a config.
+
+    One pass for the axis, one for all bounds, one for the scores.
+    """
+    inputs = _inputs(df, y_pred, fixed_drivers(df.columns))
+    out = _with_axis(df, pca_mode(df.columns)[1], keys)
+    bounded = {**inputs, "axis": F.col("_axis")}
+    if config is not None:
+        values, raw = _raw_drivers(df.columns, _checked(config))
+        out, bounded = out.withColumn("_raw", raw), {**bounded, "raw": F.col("_raw")}
+    out = _with_output(with_bounds(out, bounded, keys), y_pred)
+    out = _scores(_weighted(out, inputs, WEIGHTS), by_bounds("axis", F.col("_axis")), PCA_SCORES)
+    if config is not None:
+        out = _assumed(out, config, y_pred, values)
+    return out.drop("_bounds", "_y", "_axis", "_raw")
 
 
 def eco_efficiency(
@@ -253,8 +291,7 @@ def eco_efficiency(
 
 def method_comparison(df: DataFrame, y_pred: str = "y_pred", split: str = "split", config: Mapping = PROXY_ASSUMPTIONS) -> DataFrame:
     """Scores of all three methods side by side, each scaled within its split."""
-    scored = pca_proxies(weighted_proxies(df, y_pred, keys=[split]), y_pred, keys=[split])
-    scored = assumed_proxies(scored, config, y_pred, keys=[split])
+    scored = all_proxies(df, y_pred, config, [split])
     return scored.select(
         *[c for c in df.columns if c not in (y_pred, split)],
         F.col(f"`{y_pred}`").alias("y_pred"),

@@ -6,37 +6,49 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedge.functions.numbers import finite_or_null, scaled
+from sedge.functions.numbers import finite_or_null, is_flat
 from sedge.operators.ordering import attach
 
 Bounds = Mapping[str, tuple[float, float]]
 
 
+def _box(name: str, low: Column, high: Column) -> list[Column]:
+    """Fields by which ``name`` is scaled: where it starts, how far it goes, whether it is flat."""
+    flat = is_flat(low, high)
+    return [
+        low.alias(f"{name}_lo"),
+        F.when(flat, 1.0).otherwise(high - low).alias(f"{name}_span"),
+        flat.alias(f"{name}_flat"),
+    ]
+
+
 def with_bounds(df: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Add a struct ``_bounds`` with ``<name>_lo`` and ``<name>_hi`` of each value.
+    """Add a struct ``_bounds`` that :func:`by_bounds` scales each of the named values with.
 
-    Without keys the bounds are one scalar subquery, with keys one row per group.
+    All values share one pass. Without keys the bounds are one scalar subquery,
+    with keys one row per group.
     """
-    pairs = []
+    fields = []
     for name, x in values.items():
         x = finite_or_null(x)
-        pairs += [F.min(x).alias(f"{name}_lo"), F.max(x).alias(f"{name}_hi")]
+        fields += _box(name, F.min(x), F.max(x))
     if not keys:
-        return df.withColumn("_bounds", df.agg(F.struct(*pairs).alias("b")).scalar())
-    return attach(df, df.groupBy(*keys).agg(F.struct(*pairs).alias("_bounds")), keys)
+        return df.withColumn("_bounds", df.agg(F.struct(*fields).alias("b")).scalar())
+    return attach(df, df.groupBy(*keys).agg(F.struct(*fields).alias("_bounds")), keys)
 
 
 def fixed_bounds(df: DataFrame, bounds: Bounds) -> DataFrame:
     """``_bounds`` from known numbers, as a stream needs them."""
-    pairs = []
+    fields = []
     for name, (low, high) in bounds.items():
-        pairs += [F.lit(low).cast("double").alias(f"{name}_lo"), F.lit(high).cast("double").alias(f"{name}_hi")]
-    return df.withColumn("_bounds", F.struct(*pairs))
+        fields += _box(name, F.lit(low).cast("double"), F.lit(high).cast("double"))
+    return df.withColumn("_bounds", F.struct(*fields))
 
 
 def by_bounds(name: str, x: Column) -> Column:
-    """Value scaled by the bounds of ``name``."""
-    return scaled(finite_or_null(x), F.col(f"_bounds.{name}_lo"), F.col(f"_bounds.{name}_hi"))
+    """``(x - low) / (high - low)`` by the bounds of ``name``; 0 on every row when they are flat."""
+    of = lambda part: F.col(f"_bounds.{name}_{part}")
+    return F.when(of("flat"), 0.0).otherwise((finite_or_null(x) - of("lo")) / of("span"))
 
 
 def minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), suffix: str = "_n") -> DataFrame:

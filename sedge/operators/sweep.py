@@ -8,7 +8,7 @@ from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, functions as F
 
 from sedge.functions.columns import scenario_variables
-from sedge.operators.proxies import assumed_proxies, pca_proxies, weighted_proxies
+from sedge.operators.proxies import all_proxies
 from sedge.operators.quantiles import quantiles
 
 Scorer = Transformer | Callable[[DataFrame], DataFrame]
@@ -91,10 +91,8 @@ def run_sweep(
     grids = build_grids(scenario_ranges(base, variables), points)
     scored = predict(scorer, one_way(baselines, grids))
     scored = scored.select(*ids, *[c for c in [*base.columns, "_var", "_val", "y_pred"] if c not in ids])
-    scored = weighted_proxies(scored, keys=ids)
-    scored = pca_proxies(scored, keys=ids)
+    scored = all_proxies(scored, config=config, keys=ids)
     out = {"co2_v1": "co2_proxy", "mci_v1": "mci_proxy", "co2_pca": "co2_pca_proxy", "mci_pca": "mci_pca_proxy"}
     if config is not None:
-        scored = assumed_proxies(scored, config, keys=ids)
         out |= {"co2_assumed": "co2_assumed", "mci_assumed": "mci_assumed"}
     return scored.select(*ids, "_var", "_val", "y_pred", *[F.col(c).alias(n) for n, c in out.items()])
