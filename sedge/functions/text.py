@@ -119,11 +119,13 @@ def normal_keyword(c: Column | str) -> Column:
     return F.when(F.length(k) >= 2, k)
 
 
+# A run of letters, digits and inner hyphens, three characters at least, that is not digits alone.
+WORD = r"(?![0-9]+-*(?![a-zà-ÿ0-9-]))[a-zà-ÿ0-9][a-zà-ÿ0-9-]+[a-zà-ÿ0-9]"
+
+
 def words(text: Column | str) -> Column:
     """Words of at least three characters that are not all digits, without edge hyphens."""
-    plain = F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^a-zà-ÿ0-9-]+", " ")
-    parts = F.transform(F.split(plain, " "), lambda w: F.btrim(w, F.lit("-")))
-    return F.filter(parts, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^[0-9]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def blank_stopwords(word_list: Column) -> Column:

@@ -82,7 +82,7 @@ def code_by_sector(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes per order: part brands as barriers, parts as drivers."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), "l_partkey")
+    lines = table(spark, sf, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("paper_id"), "l_partkey")
     brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     cells = F.array(
         F.struct(F.lit("barriers").alias("dimension"), F.col("p_brand").alias("code")),

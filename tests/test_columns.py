@@ -118,3 +118,20 @@ def test_terms_keep_stopwords_as_barriers(spark):
         "circular economy", "economy carbon", "carbon capture", "capture bio-based", "bio-based soil",
     ]
     assert none == [] and one == ["soil"]
+
+
+def test_words_by_brute_force(spark):
+    """The one pattern against splitting, stripping and filtering in plain steps."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1-é É.0 \n") for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += ["2030-", "-12-a-", "a--b", "--", "1-2", "12-3-", "-007", "x-1-"]
+
+    def plain(t):
+        parts = (w.strip("-") for w in re.sub(r"[^a-zà-ÿ0-9\s-]", " ", t.lower()).split())
+        return [w for w in parts if len(w) >= 3 and not re.fullmatch(r"[0-9]+", w)]
+
+    df = spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1)
+    assert [r[0] for r in df.select(text.words("x")).collect()] == [plain(t) for t in texts]
