@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -115,55 +116,58 @@ def train_models(
     chosen = select_models(enabled)
     if grids is not None:
         chosen = {n: grids.get(n, g) for n, g in chosen.items()}
+    points = {n: grid_points(g) if g else [{}] for n, g in chosen.items()}
     rows = df.select(*id_columns, *[F.col(f"`{c}`") for c in [*features, target, split] if c not in id_columns])
-    train = rows.where(F.col(split) == "train").withColumn(
-        "_fold", F.pmod(row_hash(id_columns, seed + 1), F.lit(folds)).cast("int")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    spread = train.agg(F.stddev_samp(F.col(f"`{target}`"))).first()[0] or 1.0
+    fold = F.pmod(row_hash(id_columns, seed + 1), F.lit(folds)).cast("int")
+    searched = any(len(p) > 1 for p in points.values())
+    cached = (rows.withColumn("_fold", fold) if searched else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    train = cached.where(F.col(split) == "train")
+    spread = (train.agg(F.stddev_samp(F.col(f"`{target}`"))).first()[0] or 1.0) if "enet" in chosen else 1.0
     evaluator = RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="rmse")
 
+    def predictions(of: DataFrame, names: Sequence[str]) -> DataFrame:
+        parts = [
+            models[n].transform(of.where(F.col(split) != "train")).select(
+                F.lit(n).alias("model"), F.col(split).alias("split"), F.col(f"`{target}`").alias("y_true"), "y_pred"
+            )
+            for n in names
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     models: dict[str, PipelineModel] = {}
     facts = []
     try:
-        for name, grid in chosen.items():
+        for name in chosen:
             began = time.time()
             unit = spread if name == "enet" else 1.0
             prepared = train.withColumn("_label", F.col(f"`{target}`") / F.lit(float(unit)))
             model = _estimator(name, seed)
-            pipeline = Pipeline(stages=[*_inputs(features, name in ("linreg", "enet")), model])
-            points = grid_points(grid) if grid else [{}]
-            maps = [_param_map(name, model, p, unit) for p in points]
-            if len(points) == 1:
-                best, params = pipeline.fit(prepared, maps[0]), points[0]
+            stages = Pipeline(stages=[*_inputs(features, name in ("linreg", "enet")), model])
+            maps = [_param_map(name, model, p, unit) for p in points[name]]
+            if len(maps) == 1:
+                best, params = stages.fit(prepared, maps[0]), points[name][0]
             else:
                 search = CrossValidator(
-                    estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator,
+                    estimator=stages, estimatorParamMaps=maps, evaluator=evaluator,
                     numFolds=folds, foldCol="_fold", parallelism=parallelism,
                 ).fit(prepared)
                 best = search.bestModel
-                params = points[min(range(len(points)), key=lambda i: search.avgMetrics[i])]
+                params = points[name][min(range(len(maps)), key=lambda i: search.avgMetrics[i])]
             to_units = SQLTransformer(statement=f"SELECT *, prediction * {float(unit)!r}D AS y_pred FROM __THIS__")
             models[name] = PipelineModel(stages=[*best.stages, to_units])
             facts.append((name, round(time.time() - began, 2), json.dumps(params)))
-    finally:
-        train.unpersist()
 
-    held_out = rows.where(F.col(split) != "train")
-    scored = None
-    for name, model in models.items():
-        part = model.transform(held_out).select(
-            F.lit(name).alias("model"), F.col(split).alias("split"), F.col(f"`{target}`").alias("y_true"), "y_pred"
+        metrics = regression_metrics(predictions(cached, list(models)), "y_true", "y_pred", ["model", "split"])
+        at = lambda c, s: F.max(F.when(F.col("split") == s, F.col(c)))
+        wide = metrics.groupBy("model").agg(
+            at("rmse", "test").alias("rmse_test"), at("r2", "test").alias("r2_test"),
+            at("rmse", "validation").alias("rmse_val"), at("r2", "validation").alias("r2_val"),
         )
-        scored = part if scored is None else scored.unionByName(part)
-    metrics = regression_metrics(scored, "y_true", "y_pred", ["model", "split"])
-    at = lambda c, s: F.max(F.when(F.col("split") == s, F.col(c)))
-    wide = metrics.groupBy("model").agg(
-        at("rmse", "test").alias("rmse_test"), at("r2", "test").alias("r2_test"),
-        at("rmse", "validation").alias("rmse_val"), at("r2", "validation").alias("r2_val"),
-    )
-    spent = df.sparkSession.createDataFrame(facts, "model string, fit_seconds double, best_params string")
-    ranked = wide.join(spent, "model").orderBy("rmse_val", F.desc("r2_val"), "model")
-    standings = ranked.collect()  # one row per model
+        spent = df.sparkSession.createDataFrame(facts, "model string, fit_seconds double, best_params string")
+        ranked = wide.join(spent, "model").orderBy("rmse_val", F.desc("r2_val"), "model")
+        standings = ranked.collect()  # one row per model
+    finally:
+        cached.unpersist()
     board = df.sparkSession.createDataFrame(standings, ranked.schema)
-    best = standings[0]["model"]
-    return Trained(board, models, best, scored.where(F.col("model") == best).drop("model"))
+    best_name = standings[0]["model"]
+    return Trained(board, models, best_name, predictions(rows, [best_name]).drop("model"))

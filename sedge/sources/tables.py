@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sedge.functions.lexicon import DEFAULT_KEYWORDS
 from sedge.operators.finder import DOCUMENT, keyword_documents
 
 # File names of the split layout with separate X and y files, first match wins.
@@ -48,6 +49,16 @@ def read_split(spark: SparkSession, path: str, name: str, split: str = "split")
     return table.where(F.col(split) == hit).drop(split)
 
 
+def read_keywords(spark: SparkSession, path: str) -> list[str]:
+    """Keywords of a JSON config ``{"keywords": [...]}``; the defaults when it is missing or names none."""
+    read = lambda p: spark.read.schema("keywords array<string>").json(p, multiLine=True)
+    try:
+        row = _first_existing(spark, [path], read)[0].first()
+    except FileNotFoundError:
+        row = None
+    return list((row and row["keywords"]) or DEFAULT_KEYWORDS)
+
+
 def _first_existing(spark: SparkSession, paths: Sequence[str], read) -> tuple[DataFrame, str]:
     for path in paths:
         try:
