@@ -9,6 +9,7 @@ from sedge.functions.text import has_term, without_markup
 from sedge.operators import finder, terms
 from sedge.operators.ordering import first_rows
 from sedge.plans.registry import Registry, table
+from sedge.session import scratch_path
 
 registry = Registry()
 
@@ -261,8 +262,10 @@ def grant_records(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("{"), reference, F.lit('"url":"http://x/'), p, F.lit('","metadata":{'), fields, F.lit("}}"))
     lines = table(spark, sf, "pages", "page_id").select(p, line.alias("value"))
     copies = lines.select(p, "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    landed = copies.select((F.col("copy") * 1_000_000_000 + p).alias("_landed"), "value")
-    return finder.parse_records(landed, finder.GRANT_RECORD)
+    landed = F.concat(F.lit('{"_landed":'), F.col("copy") * 1_000_000_000 + p, F.lit(","), F.substr("value", F.lit(2)))
+    path = scratch_path(spark, "landed-grants")
+    copies.select(landed).write.text(path)
+    return spark.read.schema(f"_landed long, {finder.GRANT_RECORD}").json(path)
 
 
 GRANTS = f"""

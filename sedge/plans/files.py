@@ -86,7 +86,19 @@ def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.fingerprints(spark, sf, "*.parquet").drop("path")
 
 
-@registry.query()
+TABLE_FILES = ", ".join(
+    f"('{t}.parquet')"
+    for t in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+        "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "gone",
+    )
+)
+
+
+@registry.query(
+    f"""SELECT key, key <> 'gone.parquet' AS found, key NOT IN ('gone.parquet', 'orders.parquet') AS ok
+FROM (VALUES {TABLE_FILES}) AS t(key)"""
+)
 def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
     """The table files against a manifest with right, wrong, absent and unknown checksums and a missing file."""
     files = provenance.fingerprints(spark, sf, "*.parquet")
@@ -103,7 +115,10 @@ def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.verify_manifest(listed.unionByName(gone), files).select("key", "found", "ok")
 
 
-@registry.query()
+@registry.query(
+    """SELECT position::BIGINT AS position, name, missing, false AS collides
+FROM (VALUES (0, 'orders.parquet', false), (1, 'X_train.csv', true), (2, 'part.parquet', false)) AS t(position, name, missing)"""
+)
 def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
     files = provenance.list_files(spark, sf, "*.parquet")
     wanted = {"files": [f"{sf}/orders.parquet", f"{sf}/orders.parquet", "Train/X_train.csv"], "results": [f"{sf}/part.parquet"]}
