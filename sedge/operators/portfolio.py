@@ -117,6 +117,7 @@ def _plural(n: Column, ending: str = "s") -> Column:
 
 def with_recommendation(metrics: DataFrame) -> DataFrame:
     """Add ``recommendation``: the next steps of each scenario in words."""
+    # The sentences.
     c = F.col
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     grants, unknown = c("n_grants"), c("funding_unknown")

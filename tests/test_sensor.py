@@ -339,3 +339,24 @@ def test_correlations_and_shift(spark):
     test, val = data[1::2, 0], data[::2, 0]
     assert np.isclose(got["a_mean_diff"], test.mean() - val.mean())
     assert np.isclose(got["a_std_ratio"], val.std(ddof=1) / (test.std(ddof=1) + 1e-9))
+
+
+def test_many_groups_take_the_join(spark, rows, monkeypatch):
+    """Beyond the limit on fetched groups the statistics are joined, with the same result."""
+    rng = random.Random(4)
+    data = [("hot" if i % 3 == 0 else rng.choice(["a", "b", None]), float(i % 17), rng.random(), rng.random()) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, time_s double, temperature double, y_pred double")
+    few = rows(proxies.all_proxies(df, config=PROXY_ASSUMPTIONS, keys=["k"]))
+    monkeypatch.setattr(ordering, "MAX_LOCAL_GROUPS", 2)
+    many = rows(proxies.all_proxies(df, config=PROXY_ASSUMPTIONS, keys=["k"]))
+    assert [r[0] for r in few] == [r[0] for r in many]
+    assert all(np.allclose(a[1:], b[1:]) for a, b in zip(few, many))
+
+
+def test_all_proxies_equal_the_single_ones(spark):
+    df, _ = scored_table(spark)
+    together = proxies.all_proxies(df, config=PROXY_ASSUMPTIONS).orderBy("id").toPandas()
+    for one in (proxies.weighted_proxies(df), proxies.pca_proxies(df), proxies.assumed_proxies(df)):
+        alone = one.orderBy("id").toPandas()
+        for c in [c for c in alone.columns if c.endswith(("proxy", "assumed"))]:
+            assert np.allclose(alone[c], together[c])
