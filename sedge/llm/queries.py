@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import digest_merge, jump, packing, urls
+from sedge.llm import digest_merge, jump, packing, quality, toxicity, urls
 from sedge.llm.tokens import vocabulary_path
 from sedge.plans.registry import Registry, table
 
@@ -23,6 +23,21 @@ PAGE_RULES = (
 )
 
 
+def fold(key: str, folds: int) -> Column:
+    """Remainder of the checksum of a key's digits; null keys have none."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+@registry.query()
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; rows of remainder 1 lend no label."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trusted = labels.filter((F.col("quality") == 1) & (fold("doc_id", 3) != 1))
+    model = quality.fit_quality(documents, trusted, "doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return quality.score_quality(documents, "doc_id", "text", model, held_out)
+
+
 @registry.query(
     r"""
     WITH cut AS (
@@ -55,6 +70,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path(), SEQUENCE)
 
 
+@registry.query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; rows of remainder 2 lend no label."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.filter(fold("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit_toxicity(documents, known, "doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return toxicity.score_toxicity(documents, "doc_id", "text", model, held_out)
+
+
 @registry.query()
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards, and where 25 would put them."""
