@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import digest_merge, jump, packing, quality, toxicity, urls
+from sedge.llm import digest_merge, jump, near, packing, quality, toxicity, urls
 from sedge.llm.tokens import vocabulary_path
 from sedge.plans.registry import Registry, table
 
@@ -80,6 +80,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, "doc_id", "text", model, held_out)
 
 
+@registry.query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @registry.query()
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards, and where 25 would put them."""
