@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import digest_merge, jump, near, packing, quality, toxicity, urls
+from sedge.llm import contamination, digest_merge, jump, near, packing, quality, toxicity, urls
 from sedge.llm.tokens import vocabulary_path
 from sedge.plans.registry import Registry, table
 
@@ -104,3 +104,11 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
     return digest_merge.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registry.query()
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item, with the item and the place."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = contamination.contaminated(documents, "doc_id", "text", benchmark, "item_id", "text")
+    return found.withColumnRenamed("item", "item_id")
