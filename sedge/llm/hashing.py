@@ -103,8 +103,15 @@ def _slices(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> Iterator
 
 def word_hashes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each row the number of words before it (one more than rows)."""
+    hashes, begins, _, _ = words_of(column, alphabet)
+    return hashes, begins
+
+
+def words_of(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with each word's number of bytes and its last byte."""
     data, at = text_buffers(column)
     hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    sizes, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     for begin, end in _slices(data, at, alphabet.separator):
         part = data[begin:end]
         word = ~alphabet.separator[part]
@@ -129,8 +136,10 @@ def word_hashes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.nd
         np.cumsum(alphabet.value[part] * up[:-1], out=sums[1:])
         hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
         rows.append(np.searchsorted(at, starts + begin, "right") - 1)
-    row = np.concatenate(rows)
-    return np.concatenate(hashes), np.searchsorted(row, np.arange(len(at)))
+        sizes.append(ends - starts)
+        lasts.append(part[ends - 1])
+    begins = np.searchsorted(np.concatenate(rows), np.arange(len(at)))
+    return np.concatenate(hashes), begins, np.concatenate(sizes), np.concatenate(lasts)
 
 
 def runs_of(words: np.ndarray, n: int) -> np.ndarray:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import contamination, digest_merge, jump, near, packing, quality, toxicity, urls
+from sedge.llm import contamination, digest_merge, jump, near, packing, pseudo, quality, separators, toxicity, urls
+from sedge.llm.scratch import scratch_path
 from sedge.llm.tokens import vocabulary_path
 from sedge.plans.registry import Registry, table
 
@@ -28,6 +29,20 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
+@registry.query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, counted in flat token files."""
+    documents = table(spark, sf_dir, "documents")
+    return separators.document_tokens(documents, "doc_id", "text", vocabulary_path(), scratch_path(spark, "token-files"))
+
+
+@registry.query()
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under a network trained on all of them."""
+    documents = table(spark, sf_dir, "documents")
+    return pseudo.score_texts(documents, "doc_id", "text", pseudo.fit_pseudo_likelihood(documents, "text"))
+
+
 @registry.query()
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; rows of remainder 1 lend no label."""

@@ -39,13 +39,17 @@ def vocabulary_path() -> str:
 
 
 class WordTokens:
-    """``encode(text)`` gives the text's ids as little-endian unsigned 32-bit integers."""
+    """``encode(text)`` gives the text's ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    Without ``specials``, the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._full = Tokenizer.from_file(path)
+        self._full.encode_special_tokens = not specials
         self._model = self._full.model
         self._letters = _byte_letters()
         self._words: dict[str, bytes] = {}
@@ -92,6 +96,6 @@ class WordTokens:
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, specials: bool = True) -> WordTokens:
     """One tokenizer and cache for a worker process."""
-    return WordTokens(path)
+    return WordTokens(path, specials)
