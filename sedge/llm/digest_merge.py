@@ -78,10 +78,15 @@ def exact_duplicates(df: DataFrame, key: str, text: str, fan_in: int = 16, keep:
 
 
 def first_of_equals(df: DataFrame, key: str, text: str, keep: str = "max") -> DataFrame:
-    """The rows of ``df`` that stay; of rows that share the kept identifier and text too, one."""
-    kept = exact_duplicates(df, key, text, keep=keep).filter("kept").select(F.col(key).alias("_kept_key"), "text_sha256")
-    own = df.withColumn("_sha", F.sha2(folded(text).cast("binary"), 256))
-    stays = own.join(
-        kept.distinct(), F.col(key).eqNullSafe(F.col("_kept_key")) & (F.col("_sha") == F.col("text_sha256")), "left_semi"
-    )
-    return stays.dropDuplicates([key, "_sha"]).drop("_sha")
+    """The rows of ``df`` that stay, with all their columns; of rows that share the kept identifier and the text too, one.
+
+    In a group without identifiers one row stays.
+    """
+
+    def place(key: Column, sha: Column) -> Column:
+        return F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("none")), sha)
+
+    found = exact_duplicates(df, key, text, keep=keep).filter(F.col(key).eqNullSafe(F.col("keep_id")))
+    stays = found.select(place(F.col(key), F.col("text_sha256")).alias("_place"))
+    own = df.withColumn("_place", place(F.col(key), F.sha2(folded(text).cast("binary"), 256)))
+    return own.join(stays, "_place", "left_semi").dropDuplicates(["_place"]).drop("_place")

@@ -17,7 +17,7 @@ Those texts are joined exactly by another way: each first meets the text that is
 its family, which connects most of a family with one comparison a text; and then their rarest shingles
 (a prefix that two linked sets must share) bring together only texts of different components.
 
-All candidates are verified on the whole sets.
+Candidates whose short sketches differ by more than k are dropped; the others are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -82,16 +82,56 @@ def set_signatures(shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield len(own) - size // 4, own
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parity sketch in one to two bits a shingle: each flips the bit that its hash names."""
+    if not len(shingles):
+        return b""
+    bits = max(64, 2 << band_of(len(shingles)))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, which the symmetric difference cannot be below. The longer one is folded by XOR."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc, n, c``: size and class of every row's set."""
+    """``doc, n, c, sketch``: size, class and sketch of every row's set."""
 
     def digest(batches):
         for batch in batches:
-            found = [(len(s), set_class(s)) for s in shingle_sets(batch.column(1), WORDS)]
-            n, c = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, c], names=["doc", "n", "c"])
+            found = [(len(s), set_class(s), sketch(s)) for s in shingle_sets(batch.column(1), WORDS)]
+            n, c, bits = (pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, c, bits], names=["doc", "n", "c", "sketch"])
+
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("body"))
+    return rows.mapInArrow(digest, f"doc {dict(df.dtypes)[key]}, n long, c long, sketch binary")
+
+
+def _within_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave a link possible."""
+
+    def compare(batches):
+        for batch in batches:
+            a, b, p, q, x, y = (batch.column(k) for k in range(6))
+            size = p.to_numpy() + q.to_numpy()
+            most = size * (100 - percent) // (100 + percent)
+            near = np.abs(p.to_numpy() - q.to_numpy()) <= most
+            for k in np.flatnonzero(near).tolist():
+                near[k] = least_difference(x[k].as_py(), y[k].as_py()) <= most[k]
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return df.select(F.col(key).alias("doc"), F.col(text).alias("body")).mapInArrow(digest, f"doc {dict(df.dtypes)[key]}, n long, c long")
+    left = sketches.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
+    right = sketches.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("of_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def _signature_parts(df: DataFrame, text: str, parts: int) -> DataFrame:
@@ -326,7 +366,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80) -> Da
     number = max(tasks, int(total * SIGNATURE_SHARE / TASK_SIGNATURES) + 1)
     keyed = df.filter(F.col(key).isNotNull())
     shared = materialized(_shared_blocks(_signature_parts(keyed, text, number), number), "blocks")
-    pairs = shared.filter("b is not null").select("a", "b").distinct()
+    sketches = docs.join(classes.select(F.col("rep").alias("doc"), "c"), ["doc", "c"]).select("c", "n", "sketch").dropDuplicates(["c"])
+    sketches = materialized(sketches, "sketches")
+    candidates = shared.filter("b is not null").select("a", "b").distinct()
+    pairs = materialized(_within_reach(candidates, sketches, percent), "pairs")
     # A margin is stored doubled, with the band's turn in its last bit.
     heavy = (
         shared.filter("b is null").groupBy("a", "margin").agg(F.sum("heavy").alias("heavy"))
@@ -362,7 +405,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80) -> Da
         classes.join(labels, classes["c"] == labels["node"], "left").join(lowest, "label", "left")
         .select("c", F.coalesce("lowest", "rep").alias("component"))
     )
-    return docs.join(answer, "c", "left").select(
+    return docs.drop("sketch").join(answer, "c", "left").select(
         F.col("doc").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component"))).alias("component_id"),
@@ -373,4 +416,4 @@ def one_of_each(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFr
     """The rows of ``df`` whose key is their component's smallest; rows with a null key stay."""
     found = near_duplicates(df, key, text, percent)
     drop = found.filter(F.col(key) != F.col("component_id")).select(key)
-    return df.join(drop.distinct(), key, "left_anti")
+    return df.join(drop.distinct(), key, "left_anti").select(df.columns)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from heapq import nlargest
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +206,20 @@ def fit_quality(
     return fit(p, u) if len(p) and len(u) else None
 
 
+def is_good(text: str, model: tuple[Net, float] | None, at_least: float = 0.5) -> Column:
+    """Whether a text's score reaches ``at_least``; without a model all texts do."""
+    net = model[0] if model else None
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        if net is None:
+            return pd.Series(np.ones(len(texts), bool))
+        x = np.array([text_features(t) for t in texts]).reshape(len(texts), len(FEATURES))
+        return pd.Series(sigmoid(net.logit(x)) >= at_least)
+
+    return good(F.col(text))
+
+
 def score_quality(df: DataFrame, key: str, text: str, model: tuple[Net, float] | None, held_out: Column) -> DataFrame:
     """``key, held_out, score, predicted`` of every row.
 
