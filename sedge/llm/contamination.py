@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sedge.llm.hashing import LETTERS, runs_of, word_hashes
 
 SEED_WORDS = 3
-STRETCH = 4
+STRETCH = 2
 MATCH, MISMATCH, GAP = 2, -1, 1
 AT_LEAST = 0.5
 # Items are worked through in blocks of at most so many words; each block is sent to all tasks.
@@ -194,13 +195,14 @@ def contaminated(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind, item_kind = dict(df.dtypes)[key], dict(items.dtypes)[item_key]
     ddl = f"`{key}` {kind}, item {item_kind}, score double, first_word long, end_word long"
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     found = df.sparkSession.createDataFrame([], ddl)
     for block in _blocks(items.select(item_key, item_text)):
         all_grams = Items.of(block)
         if not len(all_grams.gram):
             continue
         sent = df.sparkSession.sparkContext.broadcast(all_grams.seeded(_text_counts(texts, all_grams)))
-        found = found.unionByName(texts.mapInArrow(_searcher(sent, at_least, key), ddl))
+        found = found.unionByName(texts.mapInArrow(_searcher(sent, at_least, key, item_type), ddl))
     return found
 
 
@@ -217,7 +219,7 @@ def _blocks(items: DataFrame):
         yield block
 
 
-def _searcher(sent, at_least: float, key: str):
+def _searcher(sent, at_least: float, key: str, item_type: pa.DataType):
     def search(batches):
         items = sent.value
         for batch in batches:
@@ -236,7 +238,7 @@ def _searcher(sent, at_least: float, key: str):
             if rows:
                 columns = [
                     batch.column(0).take(pa.array([r for r, _ in rows], pa.int64())),
-                    pa.array([items.ids[i] for _, i in rows]),
+                    pa.array([items.ids[i] for _, i in rows], item_type),
                     pa.array([best[r][0] for r in rows]),
                     pa.array([-best[r][1] for r in rows]),
                     pa.array([best[r][2] for r in rows]),

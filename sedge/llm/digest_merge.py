@@ -60,7 +60,7 @@ def exact_duplicates(df: DataFrame, key: str, text: str, fan_in: int = 16, keep:
 
     Null and empty texts are one group. The identifier to keep is the largest (or smallest) of a group; rows that repeat an
     identifier within a group are told apart by nothing, so all rows with the kept one
-    count as kept. Empty tables give no rows; other columns are not read, so
+    count as kept, and so do rows of a group without any identifier. Empty tables give no rows; other columns are not read, so
     their names cannot clash. The way back goes from the merged run to each first run (a text
     occurs there once) and then to the rows, whose hot texts are spread by run.
     """
@@ -72,7 +72,7 @@ def exact_duplicates(df: DataFrame, key: str, text: str, fan_in: int = 16, keep:
         F.col("key").alias(key),
         F.col("keep").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.coalesce(F.col("key").eqNullSafe(F.col("keep")), F.lit(False)).alias("kept"),
+        F.col("key").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
