@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ class Trie:
 class FuzzyLexicon:
     """``hit(word)``: the (term, edits) with the fewest edits that the word spells, or None."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: Iterable[tuple[str, bool]]):
         self.trie = Trie.of(terms)
         self.alphabet = {c for node in self.trie.children for c in node}
         self.states: dict[frozenset, int] = {}
@@ -133,15 +134,20 @@ class FuzzyLexicon:
     def hits(self, words: list[str]) -> list[tuple[int, tuple[int, int]]]:
         """Positions and (term, edits) of the words that spell a term."""
         known = self.words
-        fresh = set(words) - known.keys()
-        if len(known) + len(fresh) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS:
             known.clear()
-            fresh = set(words)
-        for word in fresh:
-            known[word] = self.walk(word.strip(EDGE))
+        for word in set(words):
+            if word not in known:
+                known[word] = self.walk(word.strip(EDGE))
         return [(k, found) for k, w in enumerate(words) if (found := known[w])]
 
 
+@lru_cache(maxsize=4)
+def fuzzy_lexicon(terms: tuple[tuple[str, bool], ...]) -> FuzzyLexicon:
+    """One automaton and cache for a worker process."""
+    return FuzzyLexicon(terms)
+
+
 def context_features(words: list[str], lexicon: FuzzyLexicon, weights: list[float]) -> list[float]:
     """Sums over a text's hits, each weakened or strengthened by its window."""
     found = lexicon.hits(words)
@@ -182,17 +188,21 @@ def stems_of(words: Iterable[str]) -> set[str]:
     return out
 
 
+def least_texts(toxic: int) -> int:
+    return max(4, round(0.01 * toxic))
+
+
 def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LEXICON_TERMS) -> list[tuple[str, bool, float]]:
     """(term, is a stem, log odds) from (term, toxic texts, clean texts) counts.
 
-    A term must be about 25 times as frequent in toxic texts. Of a word and its beginnings, the longest
-    one that keeps nine tenths of the shortest one's texts stands for all.
+    A term must be in one of a hundred toxic texts, and about 25 times as frequent there as elsewhere. Of a word and
+    its beginnings, the longest one that keeps nine tenths of the shortest one's texts stands for all.
     """
 
     def odds(t: int, c: int) -> float:
         return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
-    least = max(4, round(0.004 * toxic))
+    least = least_texts(toxic)
     good = {w: (t, c, odds(t, c)) for w, t, c in counts if t >= least and odds(t, c) > 3.2}
     by_length = sorted(good, key=lambda w: (len(w.rstrip("*")), w))
     out, covered = [], set()
@@ -234,7 +244,7 @@ class ToxicModel:
     beta: tuple[float, ...]
 
     def scorer(self):
-        lexicon = FuzzyLexicon([t[:2] for t in self.terms])
+        lexicon = fuzzy_lexicon(tuple(t[:2] for t in self.terms))
         weights, beta = [t[2] for t in self.terms], np.array(self.beta)
 
         def score(texts: list[str | None]) -> np.ndarray:
@@ -277,19 +287,21 @@ def fit_toxicity(
         known.filter("label = 1").orderBy(F.xxhash64(key), key).limit(toxic_rows)
         .unionByName(known.filter("label = 0").orderBy(F.xxhash64(key), key).limit(clean_rows))
     )
-    # A bounded number of texts, read twice.
-    rows = materialized(documents.select(key, text).join(sample, key), "labelled")
-    sizes = {k: min(totals.get(k, 0), most) for k, most in ((1, toxic_rows), (0, clean_rows))}
-    if not all(sizes.values()):
+    # A bounded number of texts, read twice. Copies begin alike and would pass off their rare words as common ones.
+    head = F.array_join(F.slice(F.split(F.lower(F.substring(text, 1, 400)), r"\s+"), 1, 5), " ")
+    texts = documents.select(key, text).join(sample, key).withColumn("_head", head)
+    rows = materialized(texts.dropDuplicates(["label", "_head"]).select(text, "label"), "labelled")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
-    counts = _term_counts(rows, text).filter(F.col("toxic") >= max(4, round(0.004 * sizes[1]))).filter("toxic * 10 > clean")
+    counts = _term_counts(rows, text).filter(F.col("toxic") >= least_texts(sizes[1])).filter("toxic * 10 > clean")
     # Terms of a bounded sample, the strongest ones.
     best = counts.orderBy((F.col("toxic") - F.col("clean")).desc(), "term").limit(200 * LEXICON_TERMS).collect()
     terms = choose_terms([tuple(r) for r in best], sizes[1], sizes[0])
-    lexicon_terms, weights = [t[:2] for t in terms], [t[2] for t in terms]
+    lexicon_terms, weights = tuple(t[:2] for t in terms), [t[2] for t in terms]
 
     def features(batches):
-        lexicon = FuzzyLexicon(lexicon_terms)
+        lexicon = fuzzy_lexicon(lexicon_terms)
         for batch in batches:
             values = [context_features(words_of(t), lexicon, weights) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["features", "label"])
