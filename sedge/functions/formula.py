@@ -7,7 +7,6 @@ inputs and a few functions are allowed. Nothing is evaluated per row in Python.
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -60,8 +59,6 @@ def finite_power(a: Column, b: Column) -> Column:
 
 def compile_formula(text: str, inputs: Mapping[str, Column]) -> Column:
     """Formula over ``inputs`` as a double column; undefined results are NULL."""
-    if "__" in text or re.search(r"\b(import|exec|eval|open|subprocess)\b|os\.|sys\.|;", text):
-        raise UnsafeFormula(f"not allowed in a formula: {text!r}")
     try:
         tree = ast.parse(text.strip(), mode="eval").body
     except SyntaxError as error:

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sedge.functions.numbers import finite_or_null
 from sedge.operators.ordering import attach
 
 
@@ -22,8 +23,9 @@ def _r2(y: Column, p: Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, y: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
-    """RMSE, R2 and row count per group, in one pass."""
-    a, b = F.col(y), F.col(prediction)
+    """RMSE, R2 and row count per group, in one pass; fits are judged on rows that have both numbers."""
+    known = finite_or_null(y).isNotNull() & finite_or_null(prediction).isNotNull()
+    a, b = (F.when(known, F.col(c).cast("double")) for c in (y, prediction))
     return df.groupBy(*keys).agg(_rmse(a, b).alias("rmse"), _r2(a, b).alias("r2"), F.count("*").alias("n"))
 
 
@@ -31,7 +33,7 @@ def distribution_shift(
     df: DataFrame, columns: Sequence[str], split: str = "split", first: str = "test", second: str = "validation"
 ) -> DataFrame:
     """Rows ``(metric, value)``: mean difference and deviation ratio of each column between two splits."""
-    at = lambda c, s: F.when(F.col(split) == s, F.col(c))
+    at = lambda c, s: F.when(F.col(split) == s, finite_or_null(c))
     means = [(f"{c}_mean_diff", F.avg(at(c, first)) - F.avg(at(c, second))) for c in columns]
     ratios = [
         (f"{c}_std_ratio", F.stddev_samp(at(c, second)) / (F.stddev_samp(at(c, first)) + F.lit(1e-9)))
@@ -44,7 +46,7 @@ def distribution_shift(
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair as rows ``(left, right, corr)``, in one pass."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[F.corr(finite_or_null(a), finite_or_null(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)
@@ -53,8 +55,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts of ``bins`` equal bins over each group's own range; the last bin includes the maximum."""
-    x = F.col(column)
+    """Counts of ``bins`` equal bins over each group's own range; the last bin includes the maximum. NaN is in no bin."""
+    x = finite_or_null(column)
     low, high = F.min(x), F.max(x)
     edges = df.groupBy(*keys).agg(
         F.when(low < high, low).otherwise(low - 0.5).alias("_lo"),

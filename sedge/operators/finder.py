@@ -17,7 +17,6 @@ from sedge.functions.lexicon import (
 from sedge.functions.text import contains_any, matches_keywords, normal_keyword, without_markup
 from sedge.operators.ordering import first_rows
 
-SUMMARY_LENGTH = 600
 SMALLEST_BUDGET = 1000
 
 GRANT_RECORD = (
@@ -68,19 +67,19 @@ def budget_eur(metadata: Column) -> Column:
     return F.bround(F.get(large, F.lit(0)), 0).try_cast("long")
 
 
-def normalize_grants(records: DataFrame, source: str = "cache") -> DataFrame:
-    """Grant records -> documents."""
+def normalize_grants(records: DataFrame, source: str = "cache", summary_length: int | None = None) -> DataFrame:
+    """Grant records -> documents; summaries are whole unless a length to show is given."""
     m = F.col("metadata")
     meta = lambda name: meta_value(m, name)
     identifier = _first_filled(meta("identifier"), F.col("reference"), F.col("url"))
     title = _first_filled(meta("title"), F.col("title"), identifier)
-    summary = _first_filled(meta("description"), F.col("summary"), F.col("content"))
+    summary = without_markup(_first_filled(meta("description"), F.col("summary"), F.col("content")))
     date = _first_filled(meta("startDate"), meta("publicationDateLong"))
     return records.select(
         F.concat(F.lit("g:"), identifier).alias("id"),
         F.lit("grant").alias("kind"),
         without_markup(title).alias("title"),
-        F.substring(without_markup(summary), 1, SUMMARY_LENGTH).alias("summary"),
+        (summary if summary_length is None else F.substring(summary, 1, summary_length)).alias("summary"),
         F.nullif(F.substring(date, 1, 10), F.lit("")).alias("date"),
         F.concat(F.lit(GRANT_PORTAL), F.lower(identifier)).alias("url"),
         budget_eur(m).alias("budgetEUR"),
@@ -121,16 +120,20 @@ def search_grants(
     keywords: Iterable[str] = DEFAULT_KEYWORDS,
     types: Sequence[str] = GRANT_TYPES,
     statuses: Sequence[str] = GRANT_STATUSES,
-    limit: int | None = 200,
+    limit: int | None = None,
+    summary_length: int | None = None,
 ) -> DataFrame:
     """Grants of the given types and statuses that contain any keyword, one per id, latest status first.
 
-    ``order`` names columns starting with ``_`` that fix which duplicate is the first.
+    ``order`` names columns starting with ``_`` that fix which duplicate is the first. Keywords are looked for
+    in the whole summary; ``summary_length`` only shortens what is shown.
     """
     meta = lambda name: meta_value(F.col("metadata"), name)
     open_calls = records.where(meta("type").isin(*types) & meta("status").isin(*statuses))
     docs = normalize_grants(open_calls.withColumn("_status", meta("status")))
     hits = docs.where(matches_keywords("title", "summary", list(keywords)))
+    if summary_length is not None:
+        hits = hits.withColumn("summary", F.substring("summary", 1, summary_length))
     ranked = first_documents(hits, order).orderBy(F.desc("_status"), "id")
     return (ranked if limit is None else ranked.limit(limit)).select(*DOCUMENT_COLUMNS)
 
@@ -139,15 +142,19 @@ def search_policies(
     docs: DataFrame,
     keywords: Iterable[str] = DEFAULT_KEYWORDS,
     since: str = "2015-01-01",
-    limit: int | None = 150,
+    limit: int | None = None,
     types: Sequence[str] = POLICY_TYPES,
+    order: Sequence[str] = ("title", "date", "url"),
 ) -> DataFrame:
-    """Acts of the given types from ``since`` on whose title contains any keyword, newest first."""
+    """Acts of the given types from ``since`` on whose title contains any keyword, one per id, newest first.
+
+    ``order`` fixes which of several hits with the same id is the first.
+    """
     clean = [k.replace('"', "").replace("\\", "").lower() for k in keywords]
     title_hit = contains_any(F.lower(F.col("title")), clean)
     hits = docs.where(F.col("doctype").isin(*types) & (F.col("date") >= since) & title_hit)
-    ranked = hits.distinct().orderBy(F.desc("date"), "id")
-    return ranked if limit is None else ranked.limit(limit)
+    ranked = first_documents(hits, order).orderBy(F.desc("date"), "id")
+    return (ranked if limit is None else ranked.limit(limit)).select(*DOCUMENT_COLUMNS)
 
 
 def keyword_documents(docs: DataFrame, keywords: Iterable[str]) -> DataFrame:

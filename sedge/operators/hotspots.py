@@ -11,7 +11,6 @@ from sedge.functions.text import split_list, strip
 from sedge.operators.ordering import join_keys
 from sedge.session import materialized
 
-MAX_PIVOT = 500
 PAIRS_PER_TASK = 4_000_000
 
 
@@ -26,17 +25,6 @@ def code_frequencies(codes: DataFrame, dimension: str | None = None, top: int |
     return counted.orderBy("dimension", *ranking)
 
 
-def _sectors(papers: DataFrame, sectors: Sequence[str] | None) -> list[str]:
-    """Pivot columns; asked from the data only when not given, and never unbounded."""
-    if sectors is not None:
-        return list(sectors)
-    found = papers.where("sector_tag is not null").select("sector_tag").distinct().limit(MAX_PIVOT + 1)
-    names = sorted(r[0] for r in found.collect())
-    if len(names) > MAX_PIVOT:
-        raise ValueError(f"more than {MAX_PIVOT} sectors; name the ones to show")
-    return names
-
-
 def code_by_sector(
     codes: DataFrame,
     papers: DataFrame,
@@ -44,14 +32,19 @@ def code_by_sector(
     top: int = 15,
     sectors: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Papers per code and sector for one dimension, with the ``top`` codes by total."""
-    names = _sectors(papers, sectors)
+    """Papers per code and sector for one dimension, with the ``top`` codes by total.
+
+    Named ``sectors`` become columns; without names the rows are ``(code, sector_tag, papers, total)``, of any
+    number of sectors.
+    """
     assigned = codes.where(F.col("dimension") == dimension).select("paper_id", "code").distinct()
-    tagged = assigned.join(papers.select("paper_id", "sector_tag"), "paper_id")
-    counts = tagged.where("sector_tag is not null").groupBy("code").agg(
-        *[F.count_if(F.col("sector_tag") == s).alias(s) for s in names], F.count("*").alias("total")
-    )
-    return counts.orderBy(F.desc("total"), "code").limit(top)
+    tagged = assigned.join(papers.select("paper_id", "sector_tag"), "paper_id").where("sector_tag is not null")
+    if sectors is not None:
+        named = [F.count_if(F.col("sector_tag") == s).alias(s) for s in sectors]
+        return tagged.groupBy("code").agg(*named, F.count("*").alias("total")).orderBy(F.desc("total"), "code").limit(top)
+    cells = tagged.groupBy("code", "sector_tag").agg(F.count("*").alias("papers"))
+    best = cells.groupBy("code").agg(F.sum("papers").alias("total")).orderBy(F.desc("total"), "code").limit(top)
+    return cells.join(best, "code").select("code", "sector_tag", "papers", "total").orderBy(F.desc("total"), "code", "sector_tag")
 
 
 def _frequent(codes: DataFrame, dimensions: Sequence[str], min_count: int) -> DataFrame:
@@ -117,26 +110,25 @@ def geo_level_counts(papers: DataFrame, column: str = "geographic_level") -> Dat
     )
 
 
-def _crosstab(rows: DataFrame, column: str, sectors: Sequence[str]) -> DataFrame:
-    counts = rows.where("sector_tag is not null").groupBy(column).agg(
-        *[F.count_if(F.col("sector_tag") == s).alias(s) for s in sectors]
-    )
-    return counts.orderBy(column)
+def _crosstab(rows: DataFrame, column: str, sectors: Sequence[str] | None) -> DataFrame:
+    """Named sectors as columns, else one row per value and sector."""
+    known = rows.where("sector_tag is not null")
+    if sectors is None:
+        return known.groupBy(column, "sector_tag").agg(F.count("*").alias("papers")).orderBy(column, "sector_tag")
+    return known.groupBy(column).agg(*[F.count_if(F.col("sector_tag") == s).alias(s) for s in sectors]).orderBy(column)
 
 
 def crosstab_by_sector(papers: DataFrame, column: str, sectors: Sequence[str] | None = None) -> DataFrame:
     """Papers per value of ``column`` and sector; blanks are ``(none)``."""
-    names = _sectors(papers, sectors)
     text = strip(F.coalesce(F.col(column).cast("string"), F.lit("")))
     shown = F.when(text == "", F.lit("(none)")).otherwise(text)
-    return _crosstab(papers.select(shown.alias(column), "sector_tag"), column, names)
+    return _crosstab(papers.select(shown.alias(column), "sector_tag"), column, sectors)
 
 
 def year_by_sector(papers: DataFrame, sectors: Sequence[str] | None = None) -> DataFrame:
     """Papers per publication year and sector; rows without year are left out."""
-    names = _sectors(papers, sectors)
     rows = papers.where("year is not null").select(F.col("year").cast("int").alias("year"), "sector_tag")
-    return _crosstab(rows, "year", names)
+    return _crosstab(rows, "year", sectors)
 
 
 def corpus_summary(papers: DataFrame, codes: DataFrame) -> DataFrame:

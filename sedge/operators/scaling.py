@@ -61,15 +61,16 @@ def minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), suff
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """Add ``<column>_z`` with population deviation; a flat column is only centred."""
+    """Add ``<column>_z`` with population deviation; a flat column is only centred, NaN becomes NULL."""
+    number = {c: finite_or_null(F.col(f"`{c}`")) for c in columns}
     stats = df.agg(
         F.struct(
-            *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)],
+            *[F.avg(number[c]).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.stddev_pop(number[c]).alias(f"s{i}") for i, c in enumerate(columns)],
         ).alias("s")
     ).scalar()
     out = df.withColumn("_stats", stats)
     spread = lambda i: F.when(F.col(f"_stats.s{i}") > 0, F.col(f"_stats.s{i}")).otherwise(1.0)
     return out.withColumns(
-        {f"{c}{suffix}": (F.col(f"`{c}`") - F.col(f"_stats.m{i}")) / spread(i) for i, c in enumerate(columns)}
+        {f"{c}{suffix}": (number[c] - F.col(f"_stats.m{i}")) / spread(i) for i, c in enumerate(columns)}
     ).drop("_stats")

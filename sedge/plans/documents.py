@@ -42,7 +42,7 @@ listed AS (
   SELECT id, kind, list_distinct(list_filter(k, lambda w: w IS NOT NULL) ||
     list_filter(list_transform(range(1, greatest(len(k), 1)), lambda i: k[i] || ' ' || k[i + 1]), lambda w: w IS NOT NULL)) AS terms
   FROM kept),
-freq AS (SELECT kind, term, count(*) AS df FROM (SELECT kind, unnest(terms) AS term FROM listed) GROUP BY ALL),
+freq AS MATERIALIZED (SELECT kind, term, count(*) AS df FROM (SELECT kind, unnest(terms) AS term FROM listed) GROUP BY ALL),
 floor AS (SELECT CASE WHEN count(*) > 12 THEN 2 ELSE 1 END AS least_df FROM docs)
 """
 
@@ -81,15 +81,15 @@ ASKED = ["  Eronst", "ing", "the", "ine thea", "SOIL"]
 @registry.query(
     f"""WITH {TERMS},
 sizes AS (SELECT count(*) FILTER (kind = 'policy') AS np, count(*) FILTER (kind = 'grant') AS ng FROM docs),
-shared AS (
+shared AS MATERIALIZED (
   SELECT term, sum(df) FILTER (kind = 'policy')::BIGINT AS df_policy, sum(df) FILTER (kind = 'grant')::BIGINT AS df_grant
   FROM freq GROUP BY term HAVING count(DISTINCT kind) = 2),
-common AS (
+common AS MATERIALIZED (
   SELECT shared.*, least(df_policy / np, df_grant / ng) AS score FROM shared, sizes, floor
   WHERE df_policy >= least_df AND df_grant >= least_df),
 inside AS (SELECT word, max(score) AS pair FROM (
   SELECT score, unnest(string_split(term, ' ')) AS word FROM common WHERE contains(term, ' ')) GROUP BY ALL),
-top AS (
+top AS MATERIALIZED (
   SELECT c.* FROM common c LEFT JOIN inside i ON i.word = c.term WHERE i.pair IS NULL OR i.pair < c.score
   ORDER BY score DESC, df_policy + df_grant DESC, term LIMIT 14)
 SELECT term, df_policy, df_grant, round(score, 9) AS score FROM top
@@ -176,11 +176,11 @@ def whole_word_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry.query(
-    """SELECT DISTINCT keyword FROM (SELECT lower(trim(regexp_replace(text[1:18], '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ' ', 'g'))) AS keyword
+    """SELECT DISTINCT keyword FROM (SELECT lower(trim(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ' ', 'g'))) AS keyword
 FROM conversations) WHERE length(keyword) >= 2"""
 )
 def keyword_table(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "conversations").select(F.substring("text", 1, 18).alias("raw"))
+    raw = table(spark, sf, "conversations").select(F.col("text").alias("raw"))
     return finder.keyword_table(raw, "raw")
 
 
@@ -248,7 +248,7 @@ def grant_records(spark: SparkSession, sf: str) -> DataFrame:
     listed = lambda c: F.to_json(F.array(c))
     meta = F.array(
         _field("identifier", F.when(p % 7 != 0, listed(F.concat(F.lit("HORIZON-"), p)))),
-        _field("title", F.when(p % 5 != 0, listed(F.substring("html", 1, 300)))),
+        _field("title", F.when(p % 5 != 0, listed("html"))),
         _field("description", listed("html")),
         _field("startDate", F.when(p % 4 != 0, listed(F.lit("2025-09-15T00:00:00.000+0200")))),
         _field("type", F.when(p % 9 == 0, F.lit('"2"')).otherwise(listed(F.lit("1")))),
@@ -273,8 +273,8 @@ ids AS (SELECT *, CASE WHEN page_id % 7 <> 0 THEN 'HORIZON-' || page_id WHEN pag
   ELSE 'http://x/' || page_id END AS ident FROM pages),
 grants AS (
   SELECT page_id, 'g:' || ident AS id, 'grant' AS kind,
-    CASE WHEN page_id % 5 <> 0 THEN {CLEAN.format('html[1:300]')} ELSE ident END AS title,
-    {CLEAN.format('html')}[1:600] AS summary, CASE WHEN page_id % 4 <> 0 THEN '2025-09-15' END AS date,
+    CASE WHEN page_id % 5 <> 0 THEN {CLEAN.format('html')} ELSE ident END AS title,
+    {CLEAN.format('html')} AS summary, CASE WHEN page_id % 4 <> 0 THEN '2025-09-15' END AS date,
     'https://ec.europa.eu/info/funding-tenders/opportunities/portal/screen/opportunities/topic-details/' || lower(ident) AS url,
     CASE WHEN page_id % 3 <> 0 AND page_id > 1 THEN page_id * 1000 END AS "budgetEUR",
     CASE WHEN page_id % 9 = 0 THEN 'Tender' ELSE 'Call topic' END AS doctype, 'cache' AS source FROM ids)
@@ -293,24 +293,28 @@ GRANT_KEYWORDS = ["the", "Nicht"]
 @registry.query(
     f"""WITH {GRANTS} SELECT * EXCLUDE (page_id) FROM grants WHERE page_id % 9 <> 0 AND page_id % 5 IN (1, 2, 3)
 AND (contains(lower(title || ' ' || summary), 'the') OR contains(lower(title || ' ' || summary), 'nicht'))
-ORDER BY page_id % 5 DESC, id LIMIT 40"""
+ORDER BY page_id % 5 DESC, id"""
 )
 def search_grants(spark: SparkSession, sf: str) -> DataFrame:
-    return finder.search_grants(grant_records(spark, sf), ["_landed"], GRANT_KEYWORDS, limit=40)
+    return finder.search_grants(grant_records(spark, sf), ["_landed"], GRANT_KEYWORDS)
 
 
 POLICY_KINDS = ["REG", "DIR", "DEC", "COM", "OPIN"]
 
 
 def policy_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as policy bindings; some without legal number, type or title."""
+    """Documents as policy bindings; some without legal number, type or title, and every third landed twice under two titles."""
     i = F.col("doc_id")
+    copies = F.when(i % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    landed = table(spark, sf, "documents", "doc_id").select("doc_id", "text", F.explode(copies).alias("_landed"))
+    title = F.concat(F.when(F.col("_landed") == 1, "<b>The</b> ").otherwise("<p>"), "text")
     boxed = lambda c, n: F.struct(c.cast("string").alias("value")).alias(n)
     kind = F.get(F.array(*[F.lit(k) for k in POLICY_KINDS]), (i % 5).cast("int"))
     date = F.concat((2008 + i % 15).cast("string"), F.lit("-0"), (1 + i % 9).cast("string"), F.lit("-15T00:00:00"))
-    return table(spark, sf, "documents", "doc_id").select(
+    return landed.select(
+        "_landed",
         boxed(F.concat(F.lit("http://cellar/"), i), "work"),
-        boxed(F.when(i % 11 != 0, F.concat(F.lit("<p>"), F.substring_index("text", "\n", 1))), "title"),
+        boxed(F.when(i % 11 != 0, title), "title"),
         boxed(date, "date"),
         boxed(F.when(i % 13 != 0, F.concat(F.lit("http://types/"), kind)), "type"),
         boxed(F.when(i % 4 != 0, F.concat(F.lit("3"), i)), "celex"),
@@ -320,27 +324,28 @@ def policy_records(spark: SparkSession, sf: str) -> DataFrame:
 POLICIES = f"""
 policies AS (
   SELECT CASE WHEN doc_id % 4 <> 0 THEN 'p:3' || doc_id ELSE 'p:http://cellar/' || doc_id END AS id, 'policy' AS kind,
-    CASE WHEN doc_id % 11 <> 0 THEN {CLEAN.format("('<p>' || split_part(text, chr(10), 1))")} ELSE 'http://cellar/' || doc_id END AS title,
+    CASE WHEN doc_id % 11 <> 0 THEN {CLEAN.format("((CASE WHEN landed = 1 THEN '<b>The</b> ' ELSE '<p>' END) || text)")} ELSE 'http://cellar/' || doc_id END AS title,
     '' AS summary, (2008 + doc_id % 15) || '-0' || (1 + doc_id % 9) || '-15' AS date,
     CASE WHEN doc_id % 4 <> 0 THEN 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:3' || doc_id ELSE 'http://cellar/' || doc_id END AS url,
-    NULL::BIGINT AS "budgetEUR",
+    NULL::BIGINT AS "budgetEUR", landed,
     CASE WHEN doc_id % 13 <> 0 THEN ['REG', 'DIR', 'DEC', 'COM', 'OPIN'][doc_id % 5 + 1] ELSE 'Act' END AS doctype, 'cache' AS source
-  FROM documents)
+  FROM documents, LATERAL (SELECT unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS landed))
 """
 
 
-@registry.query(f"WITH {POLICIES} SELECT * FROM policies")
+@registry.query(f"WITH {POLICIES} SELECT * EXCLUDE (landed) FROM policies")
 def normalize_policies(spark: SparkSession, sf: str) -> DataFrame:
-    return finder.normalize_policies(policy_records(spark, sf))
+    return finder.normalize_policies(policy_records(spark, sf)).select(*finder.DOCUMENT_COLUMNS)
 
 
 @registry.query(
-    f"""WITH {POLICIES} SELECT * FROM policies WHERE doctype IN ('REG', 'DIR', 'DEC', 'COM') AND date >= '2015-01-01'
-AND (contains(lower(title), 'the') OR contains(lower(title), 'eau')) ORDER BY date DESC, id LIMIT 60"""
+    f"""WITH {POLICIES} SELECT * EXCLUDE (landed) FROM policies WHERE doctype IN ('REG', 'DIR', 'DEC', 'COM') AND date >= '2015-01-01'
+AND (contains(lower(title), 'the') OR contains(lower(title), 'eau'))
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY landed) = 1"""
 )
 def search_policies(spark: SparkSession, sf: str) -> DataFrame:
     docs = finder.normalize_policies(policy_records(spark, sf))
-    return finder.search_policies(docs, ['th"e', "eau"], limit=60)
+    return finder.search_policies(docs, ['th"e', "eau"], order=["_landed"])
 
 
 @registry.query(

@@ -70,17 +70,6 @@ def snapshot_search(spark: SparkSession, sf: str) -> DataFrame:
     return tables.search_snapshot(spark, [path + "-missing", path], finder_plans.KEYWORDS).select("id", "kind", "source")
 
 
-@registry.query(
-    """SELECT 'prepare' AS stage, '{"rows": ' || count(*) || '}' AS payload FROM orders
-UNION ALL SELECT 'train', '{"rows": ' || count(*) || '}' FROM lineitem"""
-)
-def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "runs")
-    for stage, name in (("prepare", "orders"), ("train", "lineitem")):
-        provenance.append_run_log(spark, path, stage, {"rows": table(spark, sf, name).count()})
-    return provenance.read_run_log(spark, path).select("stage", "payload")
-
-
 @registry.query()
 def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.fingerprints(spark, sf, "*.parquet").drop("path")
@@ -115,17 +104,6 @@ def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.verify_manifest(listed.unionByName(gone), files).select("key", "found", "ok")
 
 
-@registry.query(
-    """SELECT position::BIGINT AS position, name, missing, false AS collides
-FROM (VALUES (0, 'orders.parquet', false), (1, 'X_train.csv', true), (2, 'part.parquet', false)) AS t(position, name, missing)"""
-)
-def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    files = provenance.list_files(spark, sf, "*.parquet")
-    wanted = {"files": [f"{sf}/orders.parquet", f"{sf}/orders.parquet", "Train/X_train.csv"], "results": [f"{sf}/part.parquet"]}
-    asked = provenance.resolve_release(wanted, sf)
-    return provenance.release_manifest(spark, asked, files).select("position", "name", "missing", "collides")
-
-
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as landed archive records with zero to two files."""
     s = F.col("s_suppkey")

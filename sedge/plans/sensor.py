@@ -191,14 +191,20 @@ def shift_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.distribution_shift(scored, ["co2_pca", "mci_pca"]))
 
 
+def with_gaps(df: DataFrame, column: str, key: str = "l_orderkey") -> DataFrame:
+    """Every seventh key's readings as NaN."""
+    return df.withColumn(column, F.when(F.col(key) % 7 == 0, F.lit(float("nan"))).otherwise(F.col(column)))
+
+
 @registry.query(
-    """WITH e AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
+    """WITH known AS (SELECT * FROM lineitem WHERE l_orderkey % 7 <> 0),
+e AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM known GROUP BY 1),
 b AS (SELECT l_returnflag, lo, hi, least(floor((l_extendedprice - lo) / (hi - lo) * 30), 29)::INTEGER AS bin
-      FROM lineitem JOIN e USING (l_returnflag))
+      FROM known JOIN e USING (l_returnflag))
 SELECT l_returnflag, bin, round(lo + bin * (hi - lo) / 30, 6) AS left_edge, count(*) AS n FROM b GROUP BY l_returnflag, bin, lo, hi"""
 )
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 30, ["l_returnflag"]))
+    return rounded(diagnostics.histogram(with_gaps(table(spark, sf, "lineitem"), "l_extendedprice"), "l_extendedprice", 30, ["l_returnflag"]))
 
 
 @registry.query(
@@ -213,12 +219,12 @@ def quantile_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry.query(
-    """SELECT l_returnflag, round(sqrt(avg(pow(l_extendedprice - l_quantity * 2000, 2))), 4) AS rmse,
-  round(1 - sum(pow(l_extendedprice - l_quantity * 2000, 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, count(*) AS n
-FROM lineitem GROUP BY 1"""
+    """WITH known AS (SELECT l_returnflag, CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS y, l_quantity * 2000 AS p FROM lineitem)
+SELECT l_returnflag, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(y)), 6) AS r2, count(*) AS n
+FROM known GROUP BY 1"""
 )
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    scored = table(spark, sf, "lineitem").withColumn("y_pred", F.col("l_quantity") * 2000)
+    scored = with_gaps(table(spark, sf, "lineitem"), "l_extendedprice").withColumn("y_pred", F.col("l_quantity") * 2000)
     out = diagnostics.regression_metrics(scored, "l_extendedprice", "y_pred", ["l_returnflag"])
     return out.select("l_returnflag", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), "n")
 
@@ -234,11 +240,11 @@ def minmax_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry.query(
-    """SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice_z,
-  0e0 AS flat_z FROM orders"""
+    """WITH known AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x FROM orders)
+SELECT o_orderkey, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS o_totalprice_z, 0e0 AS flat_z FROM known"""
 )
 def standardize(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").withColumn("flat", F.lit(3.0))
+    orders = with_gaps(table(spark, sf, "orders"), "o_totalprice", "o_orderkey").withColumn("flat", F.lit(3.0))
     out = scaling.standardize(orders, ["o_totalprice", "flat"])
     return rounded(out.select("o_orderkey", "o_totalprice_z", "flat_z"))
 

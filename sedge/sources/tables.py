@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sedge.functions.lexicon import DEFAULT_KEYWORDS
+from sedge.functions.numbers import to_number
 from sedge.operators.finder import DOCUMENT, keyword_documents
 
 # File names of the split layout with separate X and y files, first match wins.
@@ -42,11 +43,11 @@ def read_split(spark: SparkSession, path: str, name: str, split: str = "split")
     """Rows of one split; only its folder is read. ``validation`` may be stored as ``val``."""
     names = [name, "val"] if name == "validation" else [name]
     table = spark.read.parquet(path)
-    found = {r[0] for r in table.select(split).distinct().collect()}
-    hit = next((n for n in names if n in found), None)
-    if hit is None:
-        raise FileNotFoundError(f"no split {name!r} in {path}; found {sorted(found)}")
-    return table.where(F.col(split) == hit).drop(split)
+    for stored in names:
+        rows = table.where(F.col(split) == stored)
+        if not rows.isEmpty():
+            return rows.drop(split)
+    raise FileNotFoundError(f"no split {name!r} in {path}")
 
 
 def read_keywords(spark: SparkSession, path: str) -> list[str]:
@@ -69,6 +70,11 @@ def _first_existing(spark: SparkSession, paths: Sequence[str], read) -> tuple[Da
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
 
+def _numbers(df: DataFrame) -> DataFrame:
+    """Text columns as doubles, NULL where there is no number."""
+    return df.select(*[to_number(F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def read_split_files(
     spark: SparkSession,
     folder: str,
@@ -78,7 +84,7 @@ def read_split_files(
 ) -> tuple[DataFrame, DataFrame]:
     """X and y of a split in the layout with one folder per split; ``Validation`` may be ``Val``."""
     names = [name, "Val"] if name == "Validation" else [name]
-    read = lambda path: spark.read.csv(path, header=True, inferSchema=True)
+    read = lambda path: _numbers(spark.read.csv(path, header=True, inferSchema=False))
     at = lambda files: [f"{folder}/{n}/{f}" for n in names for f in files]
     return _first_existing(spark, at(x_files), read)[0], _first_existing(spark, at(y_files), read)[0]
 

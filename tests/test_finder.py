@@ -39,7 +39,8 @@ def test_normalize_grant(spark):
     full, empty, sparse = finder.normalize_grants(df).collect()
     assert (full["id"], full["title"], full["date"], full["budgetEUR"], full["doctype"]) == (
         "g:HORIZON-CL6-01", "Circular solutions", "2025-09-15", 12000000, "Call topic")
-    assert full["url"].endswith("topic-details/horizon-cl6-01") and len(full["summary"]) == 600
+    assert full["url"].endswith("topic-details/horizon-cl6-01") and len(full["summary"]) == 823
+    assert len(finder.normalize_grants(df, summary_length=600).collect()[0]["summary"]) == 600
     assert (empty["id"], empty["budgetEUR"], empty["date"], empty["summary"]) == ("g:", None, None, "")
     assert (sparse["id"], sparse["title"], sparse["summary"], sparse["doctype"]) == ("g:http://u", "http://u", "c", "Tender")
 
@@ -187,3 +188,16 @@ def test_rank_sum_in_ranges_equals_plain(spark, rows):
 def test_export_has_fifteen_columns(spark):
     out = portfolio.metrics_export(metrics_of(spark, [("s", "grant", 2000, "live", "soil digital")]))
     assert len(out.columns) == 15 and out.first()["matched_topics"] == "Soil; Data"
+
+
+def test_keywords_behind_a_long_start_are_found(spark):
+    df = grants(spark, {"metadata": {"identifier": ["A"], "title": ["t"], "description": ["x " * 500 + "rareword"], "type": ["1"], "status": ["31094501"]}})
+    hits = finder.search_grants(df, ["url"], ["rareword"], types=["1"], statuses=["31094501"], summary_length=20).collect()
+    assert [(r["id"], len(r["summary"])) for r in hits] == [("g:A", 20)]
+
+
+def test_policies_keep_one_row_per_id(spark):
+    rows = [(k, "p:3X", "policy", t, "", "2020-01-01", "u", None, "REG", "cache") for k, t in enumerate(["second soil", "first soil", "no hit"])]
+    docs = spark.createDataFrame(rows, f"_landed int, {finder.DOCUMENT}")
+    hits = finder.search_policies(docs, ["soil"], order=["_landed"]).collect()
+    assert [(r["id"], r["title"]) for r in hits] == [("p:3X", "second soil")]

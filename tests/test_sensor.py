@@ -360,3 +360,17 @@ def test_all_proxies_equal_the_single_ones(spark):
         alone = one.orderBy("id").toPandas()
         for c in [c for c in alone.columns if c.endswith(("proxy", "assumed"))]:
             assert np.allclose(alone[c], together[c])
+
+
+def test_one_nan_is_one_gap(spark):
+    from sedge.operators import diagnostics, scaling
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (nan, 9.0), (5.0, nan)], "x double, y double")
+    bins = {r["bin"]: (r["left_edge"], r["n"]) for r in diagnostics.histogram(df, "x", 2).collect()}
+    assert bins == {0: (1.0, 2), 1: (3.0, 2)}
+    z = [r["x_z"] for r in scaling.standardize(df, ["x"]).collect()]
+    assert sum(v is None for v in z) == 1 and abs(sum(v for v in z if v is not None)) < 1e-9
+    fit = diagnostics.regression_metrics(df, "x", "y").first()
+    assert (fit["rmse"], fit["r2"]) == (0.0, 1.0)
+    assert abs(diagnostics.correlations(df, ["x", "y"]).first()["corr"] - 1) < 1e-12
