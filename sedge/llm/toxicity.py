@@ -306,7 +306,8 @@ def fit_toxicity(
             values = [context_features(words_of(t), lexicon, weights) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["features", "label"])
 
-    found = rows.select(text, "label").mapInArrow(features, "features array<double>, label int").orderBy("label", "features").collect()
+    found = rows.select(text, "label").mapInArrow(features, "features array<double>, label int").collect()
+    found.sort(key=lambda r: (r["label"], r["features"]))
     x, y = np.array([r["features"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in found])
     if not len(y) or y.min() == y.max():
         return None
