@@ -7,13 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sedge.functions.numbers import clock_seconds
-from sedge.operators.ordering import (
-    ROWS_PER_RANGE,
-    join_keys,
-    order_cuts,
-    previous_value,
-    running_total,
-)
+from sedge.operators.ordering import join_keys, order_cuts, previous_value, running_total
 from sedge.operators.quantiles import grouped_quantile
 from sedge.session import materialized
 
@@ -28,7 +22,7 @@ def elapsed_seconds(
     name: str = "time_s",
     default_step: float = 15.0,
     minute_form: bool = False,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add seconds since the first row of each series.
 
@@ -42,14 +36,13 @@ def elapsed_seconds(
         bad = [r[0] for r in timed.where("_t is null").select(clock).limit(10).collect()]
         raise ValueError(f"over 95% of clock readings cannot be parsed, such as {bad}")
 
-    cuts = order_cuts(df, order, rows_per_range, seen["rows"])
+    cuts = order_cuts(df, order, ranges, seen["rows"])
     behind = previous_value(timed, "_t", keys, order, "_prev", cuts)
     step = F.col("_t") - F.col("_prev.value")
-    stepped = behind.withColumn("_step", F.when(step > 0, step))
-    if cuts:  # the median and both passes of the running total read the steps
-        stepped = materialized(stepped, "steps")
+    # The median and both passes of the running total read the steps.
+    stepped = materialized(behind.withColumn("_step", F.when(step > 0, step)), "steps")
 
-    typical = grouped_quantile(stepped, "_step", 0.5, keys, "_usual", rows_per_range if cuts else None)
+    typical = grouped_quantile(stepped, "_step", 0.5, keys, "_usual", ranges)
     if keys:
         filled = join_keys(stepped, typical, keys)
     else:

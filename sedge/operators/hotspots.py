@@ -71,15 +71,12 @@ def code_cooccurrence(
     a, b = side(dim_a, "code_a"), side(dim_b, "code_b")
     of = lambda dim: F.count_if(F.col("dimension") == dim)
     sizes = frequent.groupBy("paper_id").agg((of(dim_a) * of(dim_b)).alias("_pairs"))
-    hot = sizes.where(F.col("_pairs") > pairs_per_task)
-    if hot.isEmpty():
-        met = a.join(b, "paper_id")
-    else:
-        spread = hot.select("paper_id", F.ceil(F.col("_pairs") / pairs_per_task).cast("int").alias("_parts"))
-        parts = F.coalesce("_parts", F.lit(1))
-        dealt = a.join(spread, "paper_id", "left").withColumn("_part", F.pmod(F.xxhash64("code_a"), parts).cast("int"))
-        copied = b.join(spread, "paper_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        met = dealt.drop("_parts").join(copied.drop("_parts"), ["paper_id", "_part"])
+    spread = sizes.where("_pairs > 0").select(
+        "paper_id", F.ceil(F.col("_pairs") / pairs_per_task).cast("int").alias("_parts")
+    )
+    dealt = a.join(spread, "paper_id").withColumn("_part", F.pmod(F.xxhash64("code_a"), "_parts").cast("int"))
+    copied = b.join(spread, "paper_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    met = dealt.drop("_parts").join(copied.drop("_parts"), ["paper_id", "_part"])
     return met.groupBy("code_a", "code_b").agg(F.count("*").alias("papers"))
 
 

@@ -1,8 +1,8 @@
 """Ordered computations over series of any length.
 
 A window whose partition is one key (or no key at all) puts the whole series in
-one task. Here the order columns are cut into ranges of about ``rows_per_range``
-rows, windows run inside ``(key, range)``, and a small table with one row per
+one task. Here the order columns are cut into as many ranges as the session has shuffle
+partitions, at every size; windows run inside ``(key, range)``, and a small table with one row per
 ``(key, range)`` carries the state from range to range. The cut points come from
 a bounded sample, but they are literals in the plan: a lost task finds the same
 ranges again, and a poor sample costs balance, never correctness.
@@ -13,12 +13,10 @@ column behind one with ties.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
 
@@ -26,18 +24,16 @@ SAMPLES_PER_RANGE = 32
 def order_cuts(
     df: DataFrame,
     order: Sequence[str],
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
     rows: int | None = None,
 ) -> list[tuple]:
-    """Cut points over the order columns; empty when one range is enough.
+    """Cut points over the order columns for ``ranges`` ranges, by default one per shuffle partition.
 
     At most ``MAX_RANGES * SAMPLES_PER_RANGE`` sampled rows reach the driver.
     """
+    ranges = min(MAX_RANGES, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = df.count() if rows is None else rows
-    if total <= rows_per_range:
-        return []
-    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
-    share = min(1.0, ranges * SAMPLES_PER_RANGE / total)
+    share = min(1.0, ranges * SAMPLES_PER_RANGE / max(total, 1))
     drawn = df.select(*order).na.drop().sample(share, seed=11).limit(2 * ranges * SAMPLES_PER_RANGE)
     sample = sorted(tuple(r) for r in drawn.collect())
     if not sample:
@@ -102,10 +98,10 @@ def running_total(
     order: Sequence[str],
     name: str,
     cuts: Sequence[tuple] | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add the cumulative sum of ``value`` per key in the given order."""
-    cuts = order_cuts(df, order, rows_per_range) if cuts is None else cuts
+    cuts = order_cuts(df, order, ranges) if cuts is None else cuts
     df = df.withColumn("_value", F.col(value) if isinstance(value, str) else value)
     upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if not cuts:
@@ -134,10 +130,10 @@ def previous_value(
     order: Sequence[str],
     name: str,
     cuts: Sequence[tuple] | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``struct(value)`` of the row before, per key; NULL struct on the first row."""
-    cuts = order_cuts(df, order, rows_per_range) if cuts is None else cuts
+    cuts = order_cuts(df, order, ranges) if cuts is None else cuts
     boxed = F.struct(F.col(value).alias("value"))
     if not cuts:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -162,11 +158,11 @@ def positions(
     order: Sequence[str],
     name: str,
     keys: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Add a dense 0-based position per key: gap-free ids without a one-task window."""
-    cuts = order_cuts(df, order, rows_per_range, rows)
+    cuts = order_cuts(df, order, ranges, rows)
     ranked = running_total(df, F.lit(1).cast("long"), keys, order, name, cuts)
     return ranked.withColumn(name, F.col(name) - 1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.functions.lexicon import MITIGATION, SAVINGS
 from sedge.functions.text import has_term, literal
-from sedge.operators.ordering import ROWS_PER_RANGE, join_keys, positions
+from sedge.operators.ordering import join_keys, positions
 from sedge.session import materialized
 
 CONFIDENCE_CAP, CONFIDENCE_FLOOR = 75, 5
@@ -178,7 +178,7 @@ def with_recommendation(metrics: DataFrame) -> DataFrame:
 
 
 def rank_sums(
-    metrics: DataFrame, index: str, portfolio: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+    metrics: DataFrame, index: str, portfolio: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add ``rank_sum``: positions by funding, CO2 index and savings, each best first, ties by ``index``.
 
@@ -191,11 +191,11 @@ def rank_sums(
             "_s": -(F.col("save_low_eur") + F.col("save_high_eur")),
         }
     )
-    rows = metrics.count()
-    if rows > rows_per_range:  # each ranking then reads its input twice
-        judged = materialized(judged, "portfolio")
+    # Each ranking reads its input more than once.
+    judged = materialized(judged, "portfolio")
+    rows = judged.count()
     for measure in ("_f", "_c", "_s"):
-        judged = positions(judged, [measure, index], f"{measure}_rank", portfolio, rows_per_range, rows)
+        judged = positions(judged, [measure, index], f"{measure}_rank", portfolio, ranges, rows)
     ranks = [F.col(f"{m}_rank") for m in ("_f", "_c", "_s")]
     return judged.withColumn("rank_sum", ranks[0] + ranks[1] + ranks[2]).drop(
         *[f"{m}{s}" for m in ("_f", "_c", "_s") for s in ("", "_rank")]
@@ -203,10 +203,10 @@ def rank_sums(
 
 
 def best_scenario(
-    metrics: DataFrame, index: str, portfolio: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+    metrics: DataFrame, index: str, portfolio: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """The scenario with the lowest rank sum per portfolio, the first one on a tie."""
-    ranked = rank_sums(metrics, index, portfolio, rows_per_range)
+    ranked = rank_sums(metrics, index, portfolio, ranges)
     best = F.min_by(F.struct("scenario", "rank_sum"), F.struct("rank_sum", index)).alias("_best")
     return ranked.groupBy(*portfolio).agg(best, F.count("*").alias("scenarios")).select(
         *portfolio, "_best.scenario", "_best.rank_sum", "scenarios"

@@ -10,77 +10,86 @@ from pyspark.sql import DataFrame, functions as F
 from sedge.functions.numbers import finite_or_null
 from sedge.operators.ordering import join_keys, running_total
 
-ROWS_IN_MEMORY = 1_000_000
 ACCURACY = 10_000
+# Distinct values that one bracket's exact step keeps in memory at most.
+INSIDE = 100_000
 
 
-def value_at(df: DataFrame, column: str, rank: int, rows_in_memory: int = ROWS_IN_MEMORY) -> float | None:
-    """The value at 0-based ``rank`` among the non-NULL values of a numeric column.
+def _brackets(df: DataFrame, spots: Sequence[tuple[str, float]], counts: dict[str, int], most: int) -> list[tuple]:
+    """For each (column, 0-based rank) a value range that holds the ranks beside it: ``(low, high, rows below, rows inside)``.
 
-    Each round brackets the rank between two approximate percentiles whose error
-    is bounded, counts what lies below and inside, and keeps the inside: some
-    thousandth of the rows per scan, nothing shuffled.
+    Each round asks for approximate percentiles of all columns in one pass and counts all brackets in a second one. A
+    round leaves some thousandth of a bracket's rows, and rounds go on until few are left or one value is.
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    low, high, below = None, None, 0
-    inside = values.count()
-    if not 0 <= rank < inside:
-        return None
-    while inside > rows_in_memory and (low is None or low < high):
-        kept = values if low is None else values.where(F.col("v").between(low, high))
-        at = (rank - below) / inside
-        edges = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
-        row = kept.agg(F.percentile_approx("v", edges, ACCURACY).alias("p")).first()
-        new_low, new_high = row["p"]
-        c = values.agg(
-            F.count_if(F.col("v") < new_low).alias("below"),
-            F.count_if(F.col("v").between(new_low, new_high)).alias("inside"),
-        ).first()
-        if not c["below"] <= rank < c["below"] + c["inside"] or c["inside"] == inside:
-            break
-        low, high, below, inside = new_low, new_high, c["below"], c["inside"]
-    kept = values if low is None else values.where(F.col("v").between(low, high))
-    # Few distinct values may still hide many rows, so count them before ranking.
-    ranked = running_total(kept.groupBy("v").agg(F.count("*").alias("n")), "n", [], ["v"], "upto")
-    return ranked.where(F.col("upto") > rank - below).agg(F.min("v")).first()[0]
+    state = [(float("-inf"), float("inf"), 0, counts[c]) for c, _ in spots]
+    fixed: set[int] = set()
+    while todo := [k for k, s in enumerate(state) if k not in fixed and s[3] > most and s[0] < s[1]]:
+        edges = []
+        for k in todo:
+            (c, spot), (low, high, below, inside) = spots[k], state[k]
+            first, last = (math.floor(spot) - below) / inside, (math.ceil(spot) + 1 - below) / inside
+            at = [max(0.0, first - 2 / ACCURACY), min(1.0, last + 2 / ACCURACY)]
+            held = F.when(F.col(c).between(low, high), F.col(c))
+            edges.append(F.percentile_approx(held, at, ACCURACY).alias(f"p{k}"))
+        found = df.agg(*edges).first()
+        asked = [F.count_if(F.col(spots[k][0]) < found[f"p{k}"][0]).alias(f"b{k}") for k in todo]
+        asked += [F.count_if(F.col(spots[k][0]).between(*found[f"p{k}"])).alias(f"i{k}") for k in todo]
+        seen = df.agg(*asked).first()
+        for k in todo:
+            new = (*found[f"p{k}"], seen[f"b{k}"], seen[f"i{k}"])
+            holds = new[2] <= math.floor(spots[k][1]) and math.ceil(spots[k][1]) < new[2] + new[3]
+            if not holds or new[3] == state[k][3]:
+                fixed.add(k)
+            if holds:
+                state[k] = new
+    return state
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], at: Sequence[float], rows_in_memory: int = ROWS_IN_MEMORY
+    df: DataFrame, columns: Sequence[str], at: Sequence[float], inside: int = INSIDE
 ) -> dict[str, list[float | None]]:
-    """Interpolated quantiles of several columns as driver values: one job, or rank bracketing beyond memory."""
+    """Interpolated quantiles of several columns as driver values, exact at any size.
+
+    Ranks are bracketed until at most ``inside`` rows are left between, and those are ranked exactly, all
+    columns in one pass.
+    """
     clean = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
     names = clean.columns
-    counts = clean.agg(*[F.count(n).alias(n) for n in names]).first()
-    if max(counts) <= rows_in_memory:
-        points = F.array(*[F.lit(float(q)) for q in at])
-        row = clean.agg(*[F.percentile(n, points).alias(n) for n in names]).first()
-        return {c: list(row[n] or [None] * len(at)) for c, n in zip(columns, names)}
-    out: dict[str, list[float | None]] = {}
-    for c, n in zip(columns, names):
-        found = []
-        for q in at:
-            spot = q * (counts[n] - 1)
-            lo = value_at(clean, n, math.floor(spot), rows_in_memory)
-            hi = value_at(clean, n, math.ceil(spot), rows_in_memory)
-            found.append(None if lo is None else lo + (hi - lo) * (spot - math.floor(spot)))
-        out[c] = found
-    return out
+    counts = clean.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
+    spots = [(n, q * (counts[n] - 1)) for n in names if counts[n] for q in at]
+    if not spots:
+        return {c: [None] * len(at) for c in columns}
+    ranked = []
+    for k, ((n, spot), (low, high, below, held)) in enumerate(zip(spots, _brackets(clean, spots, counts, inside))):
+        share = (spot - below) / (held - 1) if held > 1 else 0.0
+        value = F.when(F.col(n).between(low, high), F.col(n))
+        ranked.append(F.percentile(value, F.lit(float(min(max(share, 0.0), 1.0)))).alias(f"q{k}"))
+    row = iter(clean.agg(*ranked).first())
+    return {c: [next(row) if counts[n] else None for _ in at] for c, n in zip(columns, names)}
+
+
+def value_at(df: DataFrame, column: str, rank: int, inside: int = INSIDE) -> float | None:
+    """The value at 0-based ``rank`` among the non-NULL values of a numeric column."""
+    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    n = values.count()
+    if not 0 <= rank < n:
+        return None
+    ((low, high, below, _),) = _brackets(values, [("v", float(rank))], {"v": n}, inside)
+    kept = values.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
+    ranked = running_total(kept, "n", [], ["v"], "upto")
+    return ranked.where(F.col("upto") > rank - below).agg(F.min("v")).first()[0]
 
 
 def grouped_quantile(
-    df: DataFrame, value: str, at: float, keys: Sequence[str], name: str, rows_per_range: int | None = None
+    df: DataFrame, value: str, at: float, keys: Sequence[str], name: str, ranges: int | None = None
 ) -> DataFrame:
     """Interpolated quantile per key.
 
-    Equal values are counted map-side first. With ``rows_per_range`` the ranks
-    come from a running count cut into ranges, so a key with more distinct
-    values than a task can hold is fine; otherwise one aggregate does.
+    Equal values are counted map-side first. The ranks come from a running count cut into ranges, so
+    a key with more distinct values than a task can hold is fine.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    if rows_per_range is None:
-        return counted.groupBy(*keys).agg(F.percentile(value, F.lit(float(at)), F.col("_n")).alias(name))
-    ranked = running_total(counted, "_n", keys, [value], "_upto", rows_per_range=rows_per_range)
+    ranked = running_total(counted, "_n", keys, [value], "_upto", ranges=ranges)
     spot = (F.col("_all") - 1) * F.lit(float(at))
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     bounds = (

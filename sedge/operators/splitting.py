@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedge.operators.quantiles import ROWS_IN_MEMORY, value_at
+from sedge.operators.quantiles import INSIDE, value_at
 
 HASH_DIGITS = 13  # 52 bits: exact in a long and in a double
 
@@ -30,7 +30,7 @@ def hash_split(
     seed: int = 42,
     exact: bool = False,
     name: str = "split",
-    rows_in_memory: int = ROWS_IN_MEMORY,
+    inside: int = INSIDE,
 ) -> DataFrame:
     """Add ``train``, ``test`` or ``validation``: holdout first, then the inner split.
 
@@ -44,7 +44,7 @@ def hash_split(
         n = hashes.count()
         n_val = math.ceil(holdout * n)
         n_test = math.ceil((1 - train_within) * (n - n_val))
-        first_beyond = lambda k: value_at(hashes, "h", k, rows_in_memory) if k < n else 16**HASH_DIGITS
+        first_beyond = lambda k: value_at(hashes, "h", k, inside) if k < n else 16**HASH_DIGITS
         cut_val, cut_test = F.lit(first_beyond(n_val)), F.lit(first_beyond(n_val + n_test))
     else:
         cut_val = F.lit(_share(holdout))

@@ -181,7 +181,7 @@ def test_best_scenario_rank_sum(spark):
 def test_rank_sum_in_ranges_equals_plain(spark, rows):
     data = [("hot" if i % 3 else "p", f"s{i}", i, i * 7 % 5, i % 4, i % 3, 0, i % 2) for i in range(300)]
     plain = portfolio.rank_sums(ranked(spark, data), "idx", ["portfolio"])
-    cut = portfolio.rank_sums(ranked(spark, data), "idx", ["portfolio"], rows_per_range=30)
+    cut = portfolio.rank_sums(ranked(spark, data), "idx", ["portfolio"], ranges=9)
     assert rows(plain.select("scenario", "rank_sum")) == rows(cut.select("scenario", "rank_sum"))
 
 

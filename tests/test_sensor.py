@@ -53,7 +53,8 @@ def brute_elapsed(readings):
 
 
 @pytest.mark.parametrize("keys", [[], ["unit"]])
-def test_elapsed_in_ranges_equals_brute_force(spark, keys):
+@pytest.mark.parametrize("ranges", [1, 8, 30])
+def test_elapsed_in_ranges_equals_brute_force(spark, keys, ranges):
     """A hot key with a third of the rows, NULL keys, gaps and resets, cut into many ranges."""
     rng = random.Random(5)
     rows, series = [], {}
@@ -68,7 +69,7 @@ def test_elapsed_in_ranges_equals_brute_force(spark, keys):
         for (seq, _), value in zip(members, brute_elapsed([t for _, t in members])):
             want[seq] = value
     df = spark.createDataFrame(rows, "seq long, unit string, time string").repartition(7)
-    out = elapsed_seconds(df, "time", ["seq"], keys, rows_per_range=50)
+    out = elapsed_seconds(df, "time", ["seq"], keys, ranges=ranges)
     got = {r["seq"]: r["time_s"] for r in out.collect()}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k]) for k in want)
@@ -77,14 +78,14 @@ def test_elapsed_in_ranges_equals_brute_force(spark, keys):
 def test_positions_with_ties_and_ranges(spark):
     rows = [(i, i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, v int").repartition(5)
-    got = ordering.positions(df, ["v", "id"], "pos", rows_per_range=40).collect()
+    got = ordering.positions(df, ["v", "id"], "pos", ranges=12).collect()
     want = {i: p for p, (i, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert {r["id"]: r["pos"] for r in got} == want
 
 
 def test_order_cuts_are_few_and_sorted(spark):
     df = spark.range(10_000)
-    cuts = ordering.order_cuts(df, ["id"], 1000)
+    cuts = ordering.order_cuts(df, ["id"], 10)
     assert 5 <= len(cuts) <= 9 and cuts == sorted(cuts)
     sizes = [r["count"] for r in ordering.with_range(df, ["id"], cuts).groupBy("_range").count().collect()]
     assert sum(sizes) == 10_000 and max(sizes) < 3000
@@ -104,14 +105,14 @@ def test_quantiles_in_memory_and_bracketed_agree(spark):
     at = [0.0, 0.1, 0.5, 0.8, 0.9, 1.0]
     want = np.quantile(values, at)
     assert np.allclose(quantiles.quantiles(df, ["x"], at)["x"], want)
-    assert np.allclose(quantiles.quantiles(df, ["x"], at, rows_in_memory=300)["x"], want)
+    assert np.allclose(quantiles.quantiles(df, ["x"], at, inside=300)["x"], want)
 
 
 def test_grouped_quantile_by_ranges(spark):
     rng = random.Random(1)
     data = [("hot" if i % 3 else "k", float(rng.randrange(50))) for i in range(600)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r["k"]: r["m"] for r in quantiles.grouped_quantile(df, "v", 0.5, ["k"], "m", rows_per_range=10).collect()}
+    got = {r["k"]: r["m"] for r in quantiles.grouped_quantile(df, "v", 0.5, ["k"], "m", ranges=5).collect()}
     assert got == {k: float(np.median([v for x, v in data if x == k])) for k in ("hot", "k")}
 
 
@@ -141,7 +142,7 @@ def test_prepare(spark):
 def test_exact_split_sizes(spark):
     df = spark.range(9225)
     for limit in (10_000, 500):
-        split = splitting.hash_split(df, ["id"], exact=True, rows_in_memory=limit)
+        split = splitting.hash_split(df, ["id"], exact=True, inside=limit)
         sizes = {r[0]: r[1] for r in splitting.split_sizes(split).collect()}
         assert sizes == {"train": 5904, "test": 1476, "validation": 1845}
 
