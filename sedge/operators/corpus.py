@@ -111,6 +111,13 @@ def unaligned_rows(papers: DataFrame, coded: DataFrame) -> DataFrame:
     return rows.join(known, "_key", "left_anti").drop("_key")
 
 
+def duplicate_titles(papers: DataFrame) -> DataFrame:
+    """Titles that several papers share, as rows ``(title, papers, first_paper)``; blank ones are no titles."""
+    shared = _first_papers(papers).where((F.col("_key") != "") & (F.col("_papers") > 1))
+    named = papers.select("paper_id", "title").join(shared, "paper_id")
+    return named.select("title", F.col("_papers").alias("papers"), F.col("paper_id").alias("first_paper"))
+
+
 def alignment_report(papers: DataFrame, coded: DataFrame) -> DataFrame:
     """One row: coded rows, matched papers, unmatched titles, dropped duplicates on both sides.
 

@@ -126,18 +126,21 @@ def energy_axes(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
 
     def solve(batches):
         for pdf in batches:
-            out = {"loadings": [], "explained": [], "spread": []}
-            for flat in pdf["cov"]:
-                cov = np.array([v or 0.0 for v in flat], dtype=float).reshape(k, k)
-                spread = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-                spread[spread == 0] = 1.0
-                values, vectors = np.linalg.eigh(cov / np.outer(spread, spread))
-                axis = vectors[:, -1]
-                size = np.abs(axis)
-                lead = int(np.flatnonzero(size >= size.max() - 1e-9)[0])
-                out["loadings"].append((axis if axis[lead] >= 0 else -axis).tolist())
-                out["explained"].append(float(values[-1] / values.sum()) if values.sum() else None)
-                out["spread"].append(spread.tolist())
+            n = len(pdf)
+            cov = np.array([[v or 0.0 for v in flat] for flat in pdf["cov"]], dtype=float).reshape(n, k, k)
+            spread = np.sqrt(np.clip(np.diagonal(cov, axis1=1, axis2=2), 0.0, None))
+            spread = np.where(spread == 0, 1.0, spread)
+            # All groups of a batch at once.
+            values, vectors = np.linalg.eigh(cov / (spread[:, :, None] * spread[:, None, :]))
+            axis, total = vectors[:, :, -1], values.sum(1)
+            size = np.abs(axis)
+            lead = (size >= size.max(1, keepdims=True) - 1e-9).argmax(1)
+            axis = np.where(axis[np.arange(n), lead] < 0, -1.0, 1.0)[:, None] * axis
+            out = {
+                "loadings": axis.tolist(),
+                "explained": [float(v[-1] / t) if t else None for v, t in zip(values, total)],
+                "spread": spread.tolist(),
+            }
             yield pdf.drop(columns="cov").assign(**out)[[f.name for f in schema.fields]]
 
     return moments.mapInPandas(solve, schema)

@@ -257,6 +257,15 @@ def title_align(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.align_codebook(title_papers(spark, sf), coded_lines(spark, sf), ROW_ORDER)
 
 
+@registry.query(
+    """WITH keyed AS (SELECT min(p_partkey) AS first_paper, p_name AS title, count(*) AS papers FROM part GROUP BY p_name)
+SELECT title, papers, first_paper FROM keyed WHERE papers > 1"""
+)
+def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
+    papers = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
+    return corpus.duplicate_titles(papers)
+
+
 @registry.query(
     f"""WITH {ALIGN}, marked AS (
   SELECT keyed.*, papers.key IS NOT NULL AND keyed.key <> '' AS hit FROM keyed LEFT JOIN papers USING (key))

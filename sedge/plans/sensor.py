@@ -207,6 +207,23 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.histogram(with_gaps(table(spark, sf, "lineitem"), "l_extendedprice"), "l_extendedprice", 30, ["l_returnflag"]))
 
 
+@registry.query(
+    """WITH known AS (SELECT l_returnflag, l_quantity AS q, CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice ELSE 0 END AS p FROM lineitem)
+SELECT l_returnflag, round(sqrt(0.5), 6) AS quantity_loading, round(sign(corr(q, p)) * sqrt(0.5), 6) AS price_loading,
+  round((1 + abs(corr(q, p))) / 2, 6) AS explained, round(avg(q), 6) AS quantity_centre, round(stddev_pop(p), 4) AS price_spread
+FROM known GROUP BY 1"""
+)
+def pca_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Loadings, explained share, centre and spread of the first axis per group."""
+    lines = with_gaps(table(spark, sf, "lineitem"), "l_extendedprice")
+    axes = proxies.energy_axes(lines, ["l_quantity", "l_extendedprice"], ["l_returnflag"])
+    at = lambda c, i, d, n: F.round(F.get(c, F.lit(i)), d).alias(n)
+    return axes.select(
+        "l_returnflag", at("loadings", 0, 6, "quantity_loading"), at("loadings", 1, 6, "price_loading"),
+        F.round("explained", 6).alias("explained"), at("centre", 0, 6, "quantity_centre"), at("spread", 1, 4, "price_spread"),
+    )
+
+
 @registry.query(
     " UNION ALL ".join(
         f"SELECT '{c}' AS var, round(quantile_cont({c}, 0.1), 6) AS lo, round(quantile_cont({c}, 0.9), 6) AS hi FROM lineitem"
