@@ -137,7 +137,9 @@ def _within_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 def _signature_parts(df: DataFrame, text: str, parts: int) -> DataFrame:
     """Signatures dealt over ``parts``: packed (signature, owner) pairs with the owners' (class, margin) records.
 
-    A class that a task has met before is not sent again.
+    A class that a task has met before is not sent again. Of a block that more than FEW classes of a batch share, so
+    many are sent that every task sees it is common; the others are told so at once (``told``: class, margin,
+    number of such blocks). So no block, however common, makes a large group anywhere.
     """
 
     def pack(batches):
@@ -155,22 +157,27 @@ def _signature_parts(df: DataFrame, text: str, parts: int) -> DataFrame:
             if not records:
                 continue
             key, owner, record = np.concatenate(keys), np.concatenate(owners), np.array(records, np.int64)
-            part = (key >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            key, owner, cuts = key[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            nth = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+            told = np.bincount(owner[nth > FEW], minlength=len(record))
+            key, owner = key[nth <= FEW], owner[nth <= FEW]
+            some = np.flatnonzero(told)
+            extra = np.column_stack([record[some], told[some]]).astype(np.int64).tobytes()
+            # Parts are ranges of signatures, so they lie one behind the other.
+            part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cuts = np.searchsorted(part, np.arange(parts + 1))
             for number in range(parts):
                 a, b = cuts[number], cuts[number + 1]
                 if a < b:
                     used, short = np.unique(owner[a:b], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number], pa.int32()), pa.array([key[a:b].tobytes()], pa.binary()),
-                            pa.array([short.astype(np.int32).tobytes()], pa.binary()), pa.array([record[used].tobytes()], pa.binary()),
-                        ],
-                        names=["part", "keys", "owners", "records"],
-                    )
+                    packed = [key[a:b].tobytes(), short.astype(np.int32).tobytes(), record[used].tobytes(), extra]
+                    extra = b""
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=names)
 
-    return df.select(text).mapInArrow(pack, "part int, keys binary, owners binary, records binary")
+    names = ["part", "keys", "owners", "records", "told"]
+    return df.select(text).mapInArrow(pack, "part int, keys binary, owners binary, records binary, told binary")
 
 
 def _shared_blocks(parts: DataFrame, number: int) -> DataFrame:
@@ -185,7 +192,10 @@ def _shared_blocks(parts: DataFrame, number: int) -> DataFrame:
     def match(batches):
         keys, owners, records, base = [], [], [], 0
         for batch in batches:
-            for key, owner, record in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for key, owner, record, extra in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                if extra:
+                    told = np.frombuffer(extra, np.int64).reshape(-1, 3)
+                    yield emit(*(np.ascontiguousarray(told[:, k]) if k >= 0 else None for k in (0, -1, 1, 2)))
                 keys.append(np.frombuffer(key, np.uint64))
                 owners.append(np.frombuffer(owner, np.int32) + base)
                 records.append(np.frombuffer(record, np.int64).reshape(-1, 2))
