@@ -2,7 +2,7 @@
 
 A token file is nothing but ids of two bytes, little-endian, with one end id behind each
 document. It has no index, so a document's length is only known from the places of
-the end ids before and behind it. Files are read in blocks; one comparison over a block
+the end ids before and behind it. Files are looked through in blocks; one comparison over a block
 finds its end ids; and a prefix scan over the blocks (the last end id so far, the
 number of them so far) stitches documents that span blocks.
 """
@@ -61,48 +61,50 @@ def write_token_files(df: DataFrame, key: str, text: str, vocabulary: str, path:
     writer.option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def token_blocks(spark: SparkSession, path: str, halo: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``file, block, content``: the files' blocks, each with the ``halo`` ids before it. Files are of up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content").filter("length > 0")
-    numbers = F.sequence(F.lit(0), ((F.col("length") - 1) / block_bytes).cast("int"))
-    begin = F.col("block") * F.lit(block_bytes) - F.when(F.col("block") > 0, halo * WIDTH).otherwise(0)
-    end = (F.col("block") + 1) * F.lit(block_bytes)
-    return files.select("path", "content", F.explode(numbers).alias("block")).select(
-        F.col("path").alias("file"), "block", F.substring("content", begin + 1, end - begin).alias("content")
-    )
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, content`` of the token files below ``path``, each of up to 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.filter("length > 0").select(F.col("path").alias("file"), "content")
 
 
-def scan_blocks(blocks: DataFrame, end_id: int = END_OF_TEXT, halo: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """What each block shows by itself.
+def scan_blocks(files: DataFrame, end_id: int = END_OF_TEXT, halo: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What each block of the files shows by itself.
 
     A row per end id: ``at`` (its place in the file), ``nth`` in the block, ``before`` (the place of the one before
     in the block, or null) and ``trailer`` (the ``halo`` ids in front of it). And a row per block with ``ends`` and ``last``,
-    its number of end ids and the last one's place, and ``upto``, where it stops.
+    its number of end ids and the last one's place, and ``upto``, where it stops. Blocks are views into
+    the file's bytes, so a task holds one batch of files and nothing twice.
     """
     ddl = "file string, block int, at long, nth int, before long, trailer array<int>, ends long, last long, upto long"
     names = [c.split()[0] for c in ddl.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
+    step = block_bytes // WIDTH
+
+    def rows(file: str, block: int, ids: np.ndarray):
+        base, upto = block * step, min((block + 1) * step, len(ids))
+        place = np.flatnonzero(ids[base:upto] == end_id) + base
+        n = len(place)
+        around = place[:, None] + np.arange(-halo, 0)
+        trailer = np.where(around >= 0, ids[np.maximum(around, 0)], 0).astype(np.int32)
+        sizes = np.arange(n + 1, dtype=np.int32) * halo
+        none = pa.nulls(n, pa.int64())
+        fields = [
+            pa.repeat(file, n), pa.repeat(pa.scalar(block, pa.int32()), n), pa.array(place, pa.int64()), pa.array(np.arange(n), pa.int32()),
+            pa.array(np.r_[-1, place[:-1]][:n], pa.int64(), mask=np.arange(n) == 0),
+            pa.ListArray.from_arrays(pa.array(sizes), pa.array(trailer.reshape(-1))), none, none, none,
+        ]
+        yield pa.RecordBatch.from_arrays(fields, names=names)
+        summary = [file, block, None, None, None, None, n, int(place[-1]) if n else -1, upto]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(summary, kinds, strict=True)], names=names)
 
     def scan(batches):
         for batch in batches:
-            for file, block, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.frombuffer(content, "<u2", count=len(content) // WIDTH)
-                skip = halo if block else 0
-                base = block * (block_bytes // WIDTH) - skip
-                found = np.flatnonzero(ids[skip:] == end_id) + skip
-                n = len(found)
-                place = found + base
-                padded = np.concatenate([np.zeros(halo, np.uint16), ids])
-                trailer = padded[found[:, None] + np.arange(halo)].astype(np.int32)
-                own = pa.ListArray.from_arrays(pa.array(np.arange(0, n * halo + 1, halo) if halo else np.zeros(n + 1), pa.int32()), pa.array(trailer.reshape(-1)))
-                none = pa.nulls(n, pa.int64())
-                before = pa.array(np.r_[-1, place[:-1]][:n], mask=np.arange(n) == 0, type=pa.int64())
-                fields = [pa.repeat(file, n), pa.repeat(pa.scalar(block, pa.int32()), n), pa.array(place, pa.int64()), pa.array(np.arange(n), pa.int32()), before, own, none, none, none]
-                yield pa.RecordBatch.from_arrays(fields, names=names)
-                summary = [[file], [block], [None], [None], [None], [None], [n], [int(place[-1]) if n else -1], [base + len(ids)]]
-                kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(summary, kinds, strict=True)], names=names)
-
-    return blocks.mapInArrow(scan, ddl)
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.frombuffer(content.as_buffer(), "<u2", count=len(content.as_buffer()) // WIDTH)
+                for block in range(-(-len(ids) // step)):
+                    yield from rows(file.as_py(), block, ids)
+
+    return files.mapInArrow(scan, ddl)
 
 
 def stitched(scanned: DataFrame) -> DataFrame:
@@ -146,8 +148,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_OF_TEXT, halo
     """
     if block_bytes % WIDTH:
         raise ValueError("blocks hold whole ids")
-    blocks = token_blocks(spark, path, halo, block_bytes)
-    return stitched(materialized(scan_blocks(blocks, end_id, halo, block_bytes), "scanned"))
+    return stitched(materialized(scan_blocks(token_files(spark, path), end_id, halo, block_bytes), "scanned"))
 
 
 def document_tokens(df: DataFrame, key: str, text: str, vocabulary: str, path: str) -> DataFrame:

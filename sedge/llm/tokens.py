@@ -15,7 +15,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 END_OF_TEXT = 49407
 
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")

@@ -47,14 +47,8 @@ def test_full_caches_change_nothing(monkeypatch, tokenizer):
     assert ids(own.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def blocks(spark, files, size, halo):
-    """Blocks of made-up files, cut as the reader cuts them."""
-    rows = []
-    for name, values in files.items():
-        data = np.array(values, "<u2").tobytes()
-        for k in range(-(-len(data) // size)):
-            rows.append((name, k, bytearray(data[max(0, k * size - halo * 2 * (k > 0)) : (k + 1) * size])))
-    return spark.createDataFrame(rows, "file string, block int, content binary")
+def flat_files(spark, files):
+    return spark.createDataFrame([(name, bytearray(np.array(v, "<u2").tobytes())) for name, v in files.items()], "file string, content binary")
 
 
 def plain(values, end):
@@ -73,8 +67,8 @@ def test_documents_span_blocks(spark, size, monkeypatch):
     monkeypatch.setattr(S, "SCAN_BLOCKS", 3)
     rng = np.random.default_rng(size)
     files = {f"f{k}": np.where(rng.random(60) < p, 9, rng.integers(10, 99, 60)).tolist() for k, p in enumerate((0.0, 0.05, 0.3, 1.0))}
-    halo = 1 if size == 2 else 2
-    found = S.stitched(S.scan_blocks(blocks(spark, files, size, halo), 9, halo, size)).collect()
+    halo = 2
+    found = S.stitched(S.scan_blocks(flat_files(spark, files), 9, halo, size)).collect()
     for name, values in files.items():
         got = sorted((r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in found if r["file"] == name)
         assert got == plain(values, 9)
