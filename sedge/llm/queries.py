@@ -95,7 +95,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, "doc_id", "text", model, held_out)
 
 
-@registry.query()
+@registry.query(
+    r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sets AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+        FROM worded),
+    sizes AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM sets),
+    members AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (
+        SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+    ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM sizes
+        UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+    SELECT sizes.doc_id, n::BIGINT AS n_shingles, min(other) AS component_id FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY ALL
+    """
+)
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
