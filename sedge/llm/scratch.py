@@ -2,16 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
 from sedge.session import materialized, scratch_path
 
-__all__ = ["checkpointed", "materialized", "scratch_path"]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut by a reliable checkpoint."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_path(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+__all__ = ["materialized", "scratch_path"]

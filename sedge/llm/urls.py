@@ -63,28 +63,22 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 def file_rules(rules: list[Rule], urls: DataFrame) -> DataFrame:
     """``token, name, verdict, pattern, size``: each rule under its token that the fewest rows of ``urls(tokens)`` have."""
-    spark = urls.sparkSession
-    table = spark.createDataFrame(
-        [(k, r.name, r.verdict, r.pattern, r.size, t) for k, r in enumerate(rules) for t in r.tokens],
-        "rule int, name string, verdict string, pattern string, size int, token string",
-    )
-    if len(rules) <= BROADCAST_RULES:
-        table = F.broadcast(table)
-    asked = table.select("token").distinct()
-    asked = F.broadcast(asked) if len(rules) <= BROADCAST_RULES else asked
+    spark, few = urls.sparkSession, len(rules) <= BROADCAST_RULES
+    asked = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    asked = F.broadcast(asked) if few else asked
     seen = urls.select(F.explode("tokens").alias("token")).join(asked, "token", "left_semi").groupBy("token").count()
-    # As many rows as the rules have tokens.
-    common = {r["token"]: r["count"] for r in seen.collect()} if len(rules) <= BROADCAST_RULES else None
-    if common is not None:
+    if few:
+        # As many counts as the rules have tokens.
+        common = {r["token"]: r["count"] for r in seen.collect()}
         rows = [(min(r.tokens, key=lambda t: (common.get(t, 0), t)), r.name, r.verdict, r.pattern, r.size) for r in rules]
         return F.broadcast(spark.createDataFrame(rows, "token string, name string, verdict string, pattern string, size int"))
-    rarest = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token"))
-    return (
-        table.join(seen, "token", "left")
-        .groupBy("rule", "name", "verdict", "pattern", "size")
-        .agg(rarest.alias("token"))
-        .drop("rule")
+    table = spark.createDataFrame(
+        [(k, r.name, r.verdict, r.pattern, r.size, t) for k, r in enumerate(rules) for t in r.tokens],
+        "rule int, name string, verdict string, pattern string, size int, token string",
     )
+    rarest = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")
+    filed = table.join(seen, "token", "left").groupBy("rule", "name", "verdict", "pattern", "size").agg(rarest)
+    return filed.drop("rule")
 
 
 def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], default: str = "allow") -> DataFrame:
