@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "sedge", partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+    """Session for tests and the bench; a cluster brings its own. Its scratch folder goes when the process ends."""
+    scratch = tempfile.mkdtemp(prefix="sedge-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "sedge", partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{scratch}")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
