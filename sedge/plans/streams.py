@@ -25,15 +25,17 @@ def as_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @registry.query(
     """SELECT user_id % 40 AS id, event_id, event_type, value FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) = 1"""
+QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id % 3, event_id) = 1"""
 )
 def landed_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    out, checkpoint = scratch_path(spark, "landed"), scratch_path(spark, "landed-state")
-    arriving = as_stream(spark, sf, "events").select(
-        (F.col("user_id") % 40).alias("id"), "event_id", "event_type", "value"
-    )
-    refresh(arriving, out, checkpoint, ["id"], ["event_id"]).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    """Events that land in three parts, each merged into what came before."""
+    out, checkpoint, landing = (scratch_path(spark, f"landed{n}") for n in ("", "-state", "-files"))
+    events = table(spark, sf, "events").select((F.col("user_id") % 40).alias("id"), "event_id", "event_type", "value")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema(events.schema).parquet(landing)
+        refresh(arriving, out, checkpoint, ["id"], ["event_id"]).awaitTermination()
+    return spark.read.parquet(out).drop("batch", "bucket")
 
 
 def _rows(df: DataFrame) -> DataFrame:

@@ -21,22 +21,28 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def first_wins_sink(path: str, ids: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+BUCKETS = 256
+
+
+def first_wins_sink(path: str, ids: list[str], order: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps the first row per id across all batches.
 
-    Each batch drops ids of earlier batches by an anti join on the id columns
-    alone and writes only its own ``batch=<n>`` folder, in overwrite mode: a
-    batch that is replayed after a failure replaces itself, and what is already
+    Rows are stored by a hash bucket of their id. Each batch drops ids of earlier batches by an anti join on the
+    id columns alone, with the buckets it touches and no others, and writes only its own ``batch=<n>`` folder, in
+    overwrite mode: a batch that is replayed after a failure replaces itself, and what is already
     written is never rewritten.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_rows(batch, ids, order)
-        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        bucket = F.pmod(F.xxhash64(*ids), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        fresh = first_rows(batch, ids, order).withColumn("bucket", bucket)
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
         known = read_table(spark, path, stored)
-        earlier = known.where(F.col("batch") < number).select(*ids)
-        fresh.join(earlier, ids, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        earlier = known.where((F.col("batch") < number) & F.col("bucket").isin(touched)).select("bucket", *ids)
+        kept = fresh.join(earlier, ["bucket", *ids], "left_anti")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return write
 
