@@ -45,14 +45,20 @@ def unwanted(word: str) -> Rule:
     return Rule(None, "block", rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)", (f"host:{word}",), len(word))
 
 
+def _behind_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_behind_scheme(url), r"^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ``?``, ``#`` or the end; else empty."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_behind_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def url_tokens(host: Column, path: Column) -> Column:

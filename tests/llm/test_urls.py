@@ -6,7 +6,7 @@ from sedge.llm import urls as U
 
 RULES = [U.listed("allow", "org", "/"), U.listed("block", "example.org", "/es/"), U.listed("block", "example.org", "/en/1"), U.listed("allow", "com", "/fr/"), U.listed("block", "com", "/de/"), *map(U.unwanted, U.UNWANTED)]
 URLS = [
-    None, "", "no scheme", "http://", "http://org", "http://org/", "HTTP://EXAMPLE.ORG/es/x", "https://www.example.org/es", "https://a.example.org/es/", "https://example.org/en/12?x=/es/",
+    None, "", "no scheme", "x" * 200_000, "http://" + "h." * 60_000 + "org/",  "http://", "http://org", "http://org/", "HTTP://EXAMPLE.ORG/es/x", "https://www.example.org/es", "https://a.example.org/es/", "https://example.org/en/12?x=/es/",
     "https://example.org/en/2#/", "https://notexample.org/es/1", "https://x.com/fr/a", "https://x.com/de/", "https://com/de/é", "https://x.com/FR/a", "https://adult-x.com/a", "https://adult-x.com/fr/a",
     "https://xadult.com/", "ftp://u@casino.net:80/p?q=http://org/", "a://b://c/d", "http://h?x=1/fr/", "http://com/fr/" + "y" * 100_000, "http://ex\nample.org/es/", "://porn", "http://XXX", "https://example.org//es/",
     "http://ÀÉ.org/é", "https://.org/", "https://example.com/fr/a://org/",
