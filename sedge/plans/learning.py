@@ -36,6 +36,42 @@ def regression_line(spark: SparkSession, sf: str) -> DataFrame:
     return done.leaderboard.select("model", *rounded)
 
 
+ENET = {"alpha": 4.0, "l1_ratio": 0.5}
+
+
+@registry.query(
+    f"""WITH rows AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, {LINE_SPLIT} AS split FROM lineitem),
+t AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, covar_pop(x, y) / stddev_samp(x) AS c, var_pop(x) / var_samp(x) AS v
+      FROM rows WHERE split = 'train'),
+w AS (SELECT *, sign(c) * greatest(abs(c) - {ENET["alpha"] * ENET["l1_ratio"]}, 0) / (v + {ENET["alpha"] * (1 - ENET["l1_ratio"])}) AS w FROM t),
+m AS (SELECT split, sqrt(avg(pow(y - my - w * (x - mx) / sx, 2))) AS rmse,
+             1 - sum(pow(y - my - w * (x - mx) / sx, 2)) / (var_pop(y) * count(*)) AS r2 FROM rows, w WHERE split <> 'train' GROUP BY split)
+SELECT 'enet' AS model, round(max(rmse) FILTER (split = 'test'), 3) AS rmse_test, round(max(r2) FILTER (split = 'test'), 4) AS r2_test,
+  round(max(rmse) FILTER (split = 'validation'), 3) AS rmse_val, round(max(r2) FILTER (split = 'validation'), 4) AS r2_val FROM m"""
+)
+def regression_enet(spark: SparkSession, sf: str) -> DataFrame:
+    """The elastic net on one feature, where its coefficient is a soft threshold; unknown model names are ignored."""
+    rows = line_split(spark, sf).withColumn("price", F.col("l_extendedprice") / 1000)
+    grid = {"enet": {"alpha": [ENET["alpha"]], "l1_ratio": [ENET["l1_ratio"]]}}
+    done = regress.train_models(rows, ["l_quantity"], "price", ID, enabled=["enet", "unknown"], grids=grid)
+    rounded = [F.round(c, d).alias(c) for c, d in (("rmse_test", 3), ("r2_test", 4), ("rmse_val", 3), ("r2_val", 4))]
+    return done.leaderboard.select("model", *rounded)
+
+
+STEP_GRIDS = {
+    "rf": {"n_estimators": [5], "max_depth": [3], "min_samples_split": [2]},
+    "gbr": {"n_estimators": [3], "learning_rate": [0.1], "max_depth": [2]},
+}
+
+
+@registry.query("SELECT unnest(['gbr', 'rf']) AS model, 0e0 AS rmse_test, 1e0 AS r2_test, 0e0 AS rmse_val, 1e0 AS r2_val FROM (SELECT 1 FROM lineitem LIMIT 1)")
+def regression_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """A step in one feature, which forests and boosted trees must hit on every row."""
+    rows = line_split(spark, sf).withColumn("step", F.when(F.col("l_linenumber") >= 4, 10.0).otherwise(0.0))
+    done = regress.train_models(rows, ["l_linenumber", "l_tax"], "step", ID, enabled=["rf", "gbr"], grids=STEP_GRIDS)
+    return done.leaderboard.select("model", *[F.round(c, 9).alias(c) for c in ("rmse_test", "r2_test", "rmse_val", "r2_val")])
+
+
 def _board(done: regress.Trained) -> DataFrame:
     return done.leaderboard.drop("fit_seconds")
 
@@ -168,3 +204,35 @@ def coder_predictions(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "coder")
     coder.run_coding(texts, rows.select("doc_id", "task", "label"), folder, "doc_id", models=["nb"], cv=2)
     return coder.predict_codes(folder, texts.withColumnRenamed("text", "body"), F.col("body")).drop("body")
+
+
+def marked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Labeled documents whose text names the label: ``(doc_id, text, label)``."""
+    good = F.col("quality") == 1
+    marked = F.concat_ws(" ", "source", "lang", F.when(good, "clean record").otherwise("noisy record"))
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").where("quality is not null")
+    return rows.select("doc_id", marked.alias("text"), F.when(good, "yes").otherwise("no").alias("label"))
+
+
+@registry.query(
+    """SELECT 'quality' AS task, unnest(['linear_svc', 'logreg', 'nb', 'rf']) AS model, 1e0 AS f1_macro, 0e0 AS f1_macro_std, 1e0 AS accuracy,
+  count(*) AS n, 5::BIGINT AS cv_folds FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL"""
+)
+def text_coder_separable(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text model, five folds: a word names the class, so each held-out row must be right."""
+    done = coder.evaluate_task(marked_documents(spark, sf), "quality", "doc_id", models=coder.TEXT_MODELS, cv=5, trees=20)
+    return _rounded_summary(coder.cv_summary(coder.fold_scores(done.predictions)))
+
+
+@registry.query(
+    """SELECT doc_id, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS pred_quality FROM labels JOIN documents USING (doc_id)
+WHERE quality IS NOT NULL"""
+)
+def coder_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Models evaluated, refitted, saved, loaded and applied to the rows they must tell apart."""
+    rows = marked_documents(spark, sf)
+    folder = scratch_path(spark, "coder")
+    targets = rows.select("doc_id", F.lit("quality").alias("task"), "label")
+    coder.run_coding(rows.select("doc_id", "text"), targets, folder, "doc_id", models=["logreg", "nb"], cv=5)
+    marked = rows.select("doc_id", F.col("text").alias("body"))
+    return coder.predict_codes(folder, marked, F.col("body")).drop("body")
