@@ -28,7 +28,7 @@ CLEAN_ROWS = 6_000
 LEXICON_TERMS = 200
 STEM_LENGTHS = range(3, 11)
 WINDOW = 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 EDGE = "\"'“”„«»‘’‚‹›()[]{}<>.,;:!?…*_~`|/\\#&%$+=-–—"
 # Words and marks that tell a quotation from abuse, and direct address; fixed values.
 REPORTING = frozenset("said says wrote writes quoted quote called cited reported sagte schrieb zitiert dit écrit cité dijo escribió citado".split())
@@ -142,7 +142,7 @@ class FuzzyLexicon:
         return [(k, found) for k, w in enumerate(words) if (found := known[w])]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def fuzzy_lexicon(terms: tuple[tuple[str, bool], ...]) -> FuzzyLexicon:
     """One automaton and cache for a worker process."""
     return FuzzyLexicon(terms)
