@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import corpus, hotspots
