@@ -40,7 +40,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a network trained on all of them."""
     documents = table(spark, sf_dir, "documents")
-    return pseudo.score_texts(documents, "doc_id", "text", pseudo.fit_pseudo_likelihood(documents, "text"))
+    words = pseudo.word_counts(documents, "text")
+    return pseudo.score_texts(documents, "doc_id", "text", pseudo.fit_pseudo_likelihood(documents, "text", words=words), words)
 
 
 @registry.query()

@@ -166,6 +166,26 @@ def test_pseudo_likelihood_is_the_sum_over_windows(spark):
         assert (r["per_word"] is None) == (n == 0)
 
 
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_a_word_counts_itself_and_not_only_its_shape(spark, common):
+    rows = [(1, "the cart the card"), (2, "the cart the cart"), (None, "the curt the cart"), (4, ""), (5, None), (5, "the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = pseudo.word_counts(df, "text")
+    counted = Counter(w for _, t in rows for w in (t or "").split())
+    assert sorted(r["n"] for r in words.collect()) == sorted(counted.values())
+    model = pseudo.fit_pseudo_likelihood(df, "text", 1, words)
+    plain = {(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in pseudo.score_texts(df, "doc_id", "text", model).collect()}
+    got = {(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in pseudo.score_texts(df, "doc_id", "text", model, words, common).collect()}
+    shaped = sum(n for w, n in counted.items() if w != "the")
+    share = lambda w: np.log(counted[w] / (shaped + 1))
+    want = {(k, len((t or "").split())): sum(share(w) for w in (t or "").split() if w != "the") for k, t in rows}
+    assert len(got) == len(rows) and got == pytest.approx({k: plain[k] + w for k, w in want.items()}, abs=1e-6)
+    assert plain[1, 4] == pytest.approx(plain[2, 4]) and got[1, 4] < got[2, 4]
+    new = spark.createDataFrame([(1, "the zzzz")], "doc_id long, text string")
+    (unseen,), (bare,) = (pseudo.score_texts(new, "doc_id", "text", model, *w).collect() for w in ((words, common), ()))
+    assert unseen["log_likelihood"] == pytest.approx(bare["log_likelihood"] - np.log(shaped + 1), abs=1e-6)
+
+
 def test_training_beats_single_words(judged):
     documents, _ = judged
     classes = pseudo.frequent_words(documents, "text")
