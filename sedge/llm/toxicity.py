@@ -275,22 +275,26 @@ def _term_counts(rows: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _digest(text: str) -> Column:
+    """Of the whole text, without case and with any white space as one blank; null is empty."""
+    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))))
+
+
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, key: str, text: str, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS
 ) -> ToxicModel | None:
-    """Lexicon and score from at most ``toxic_rows`` and ``clean_rows`` labelled texts (those whose keys have the
+    """Lexicon and score from at most ``toxic_rows`` and ``clean_rows`` different labelled texts (those whose keys have the
     smallest hashes). ``labels`` has the key and a 0/1 ``label``. None when a class has no text.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col("label").isin(0, 1)).select(key, F.col("label").cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = F.broadcast(
-        known.filter("label = 1").orderBy(F.xxhash64(key), key).limit(toxic_rows)
-        .unionByName(known.filter("label = 0").orderBy(F.xxhash64(key), key).limit(clean_rows))
-    )
-    # A bounded number of texts, read twice. Copies begin alike and would pass off their rare words as common ones.
-    head = F.array_join(F.slice(F.split(F.lower(F.substring(text, 1, 400)), r"\s+"), 1, 5), " ")
-    texts = documents.select(key, text).join(sample, key).withColumn("_head", head)
-    rows = materialized(texts.dropDuplicates(["label", "_head"]).select(text, "label"), "labelled")
+    # Copies would pass off their rare words as common ones: of equal texts of a label the smallest key stands for all.
+    equal = documents.select(key, _digest(text).alias("_digest")).join(known, key)
+    firsts = materialized(equal.groupBy("label", "_digest").agg(F.min(key).alias(key)), "distinct-labelled")
+    drawn = [firsts.filter(f"label = {label}").orderBy(F.xxhash64(key), key).limit(most) for label, most in ((1, toxic_rows), (0, clean_rows))]
+    texts = documents.select(key, text).join(F.broadcast(drawn[0].unionByName(drawn[1])), key).filter(_digest(text) == F.col("_digest"))
+    # A bounded number of texts, read twice.
+    rows = materialized(texts.dropDuplicates(["label", "_digest"]).select(text, "label"), "labelled")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None

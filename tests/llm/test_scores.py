@@ -145,6 +145,19 @@ def test_toxicity_of_odd_rows(spark, odd, fitted):
         assert hit["predicted"] == 1
 
 
+def test_texts_under_one_header_are_all_fitted(spark):
+    header = "Message to all members of the list: "
+    rows = [(k, header + (f"vile t{k} stuff" if k % 2 else f"kind c{k} words"), k % 2) for k in range(60)]
+    rows += [(100 + k, "  \n" + header.upper() + "only  COPIES here", 1) for k in range(30)] + [(200, None, 1), (201, "", 0)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    model = toxicity.fit_toxicity(texts, texts.select("doc_id", "label"), "doc_id", "text")
+    terms = {t for t, _, _ in model.terms}
+    assert {"vile", "stuff"} <= terms and not terms & {"only", "copies", "here"}
+    assert model == toxicity.fit_toxicity(texts.repartition(3), texts.select("doc_id", "label"), "doc_id", "text")
+    few = toxicity.fit_toxicity(texts, texts.select("doc_id", "label"), "doc_id", "text", 10, 10)
+    assert {"vile", "stuff"} <= {t for t, _, _ in few.terms}
+
+
 def test_pseudo_likelihood_is_the_sum_over_windows(spark):
     rows = [(k, t) for k, t in enumerate(["the cat sat, the cat", "The dog; a dog", "", None, "one", "é ü 12 !! the", "cat " * 50])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
