@@ -10,10 +10,12 @@ direct address make it stronger. A logistic model over those sums gives the scor
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,9 @@ from sedge.llm.scratch import materialized
 # Bounds of the fitting sample; everything else reads all rows.
 TOXIC_ROWS = 3_000
 CLEAN_ROWS = 6_000
-LEXICON_TERMS = 200
+LEAST_TEXTS = 4
+LEAST_ODDS = 3.2
+FALSE_TERMS = 0.05
 STEM_LENGTHS = range(3, 11)
 WINDOW = 8
 CACHE_WORDS = 200_000
@@ -188,37 +192,43 @@ def stems_of(words: Iterable[str]) -> set[str]:
     return out
 
 
-def least_texts(toxic: int) -> int:
-    return max(4, round(0.01 * toxic))
+def _chance(t: int, c: int, share: float) -> float:
+    """That of t + c texts, each toxic with chance ``share``, t or more are."""
+    n = t + c
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(1 - share) + (n - i) * log(share) for i in range(c + 1)]
+    return min(1.0, sum(map(exp, logs)))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LEXICON_TERMS) -> list[tuple[str, bool, float]]:
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int) -> list[tuple[str, bool, float]]:
     """(term, is a stem, log odds) from (term, toxic texts, clean texts) counts.
 
-    A term must be in one of a hundred toxic texts, and about 25 times as frequent there as elsewhere. Of a word and
+    A term must be in four toxic texts, be about 25 times as frequent there as elsewhere, and be no work of chance: of the accepted
+    terms one in twenty may be (Benjamini and Hochberg's rule, over all ``tested`` terms of four toxic texts). Of a word and
     its beginnings, the longest one that keeps nine tenths of the shortest one's texts stands for all.
     """
 
     def odds(t: int, c: int) -> float:
         return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
-    least = least_texts(toxic)
-    good = {w: (t, c, odds(t, c)) for w, t, c in counts if t >= least and odds(t, c) > 3.2}
-    by_length = sorted(good, key=lambda w: (len(w.rstrip("*")), w))
+    share = toxic / (toxic + clean)
+    likely = sorted((_chance(t, c, share), w, t, c) for w, t, c in counts if t >= LEAST_TEXTS and odds(t, c) > LEAST_ODDS)
+    accepted = max((k for k, (p, *_) in enumerate(likely, 1) if p <= FALSE_TERMS * k / max(tested, 1)), default=0)
+    good = {w: (t, c, odds(t, c)) for _, w, t, c in likely[:accepted]}
+    by_length, by_name = sorted(good, key=lambda w: (len(w.rstrip("*")), w)), sorted(good)
     out, covered = [], set()
     for word in by_length:
         if word in covered:
             continue
         best, texts = word, good[word][0]
         if word.endswith("*"):
-            family = [w for w in by_length if w.startswith(word[:-1])]
+            family = by_name[bisect_left(by_name, word[:-1]) : bisect_left(by_name, word[:-1] + chr(0x10FFFF))]
             covered.update(family)
             for w in family:
                 if good[w][0] >= 0.9 * texts and len(w.rstrip("*")) >= len(best.rstrip("*")):
                     best = w
         out.append((best.rstrip("*"), best.endswith("*"), good[best][2], good[best][0]))
-    out.sort(key=lambda x: (-x[3] * x[2], x[0]))
-    return [x[:3] for x in out[:most]]
+    out.sort(key=lambda x: (-x[3] * x[2], x[0], x[1]))
+    return [x[:3] for x in out]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -298,10 +308,10 @@ def fit_toxicity(
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
-    counts = _term_counts(rows, text).filter(F.col("toxic") >= least_texts(sizes[1])).filter("toxic * 10 > clean")
-    # Terms of a bounded sample, the strongest ones.
-    best = counts.orderBy((F.col("toxic") - F.col("clean")).desc(), "term").limit(200 * LEXICON_TERMS).collect()
-    terms = choose_terms([tuple(r) for r in best], sizes[1], sizes[0])
+    counts = materialized(_term_counts(rows, text).filter(F.col("toxic") >= LEAST_TEXTS), "term-counts")
+    # Of a bounded sample's terms, those that tell toxic texts from others.
+    telling = (F.col("toxic") + 0.5) * (sizes[0] + 1) > (F.col("clean") + 0.5) * (sizes[1] + 1) * float(np.exp(LEAST_ODDS))
+    terms = choose_terms([tuple(r) for r in counts.filter(telling).collect()], sizes[1], sizes[0], counts.count())
     lexicon_terms, weights = tuple(t[:2] for t in terms), [t[2] for t in terms]
 
     def features(batches):

@@ -145,6 +145,15 @@ def test_toxicity_of_odd_rows(spark, odd, fitted):
         assert hit["predicted"] == 1
 
 
+def test_rare_and_many_terms_are_kept():
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3)) + "zz"
+    counts = [(name(k), 20, 0) for k in range(400)] + [("raregrub", 12, 0), ("chance", 4, 0), ("common", 900, 1800)]
+    terms = {t for t, _, _ in toxicity.choose_terms(counts, 3_000, 6_000, 5_000)}
+    assert terms == {name(k) for k in range(400)} | {"raregrub"}
+    few = {t for t, _, _ in toxicity.choose_terms([("raregrub", 6, 0), ("chance", 4, 3)], 300, 3_000, 100)}
+    assert few == {"raregrub"}
+
+
 def test_texts_under_one_header_are_all_fitted(spark):
     header = "Message to all members of the list: "
     rows = [(k, header + (f"vile t{k} stuff" if k % 2 else f"kind c{k} words"), k % 2) for k in range(60)]
@@ -154,7 +163,7 @@ def test_texts_under_one_header_are_all_fitted(spark):
     terms = {t for t, _, _ in model.terms}
     assert {"vile", "stuff"} <= terms and not terms & {"only", "copies", "here"}
     assert model == toxicity.fit_toxicity(texts.repartition(3), texts.select("doc_id", "label"), "doc_id", "text")
-    few = toxicity.fit_toxicity(texts, texts.select("doc_id", "label"), "doc_id", "text", 10, 10)
+    few = toxicity.fit_toxicity(texts, texts.select("doc_id", "label"), "doc_id", "text", 20, 20)
     assert {"vile", "stuff"} <= {t for t, _, _ in few.terms}
 
 
