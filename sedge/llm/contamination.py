@@ -1,15 +1,13 @@
 """Copies of test items in training texts, exact, edited or paraphrased.
 
-Every word trigram of the items is looked for in every text, which gives its number of texts. In each
-stretch of neighbouring trigrams of an item the rarest is a seed, so that any run of
-``STRETCH + 2`` unedited words holds one, while common phrases seed nothing they need not. A seed found in a text puts the
-item next to the text, and Smith-Waterman alignment of whole words scores the
+Two neighbouring words of an item are a seed, also with one word more between them in the text. An alignment that
+reaches the bound holds at least a number of seeds that grows with the item (``Items.needed``); where a text has
+as many close together, Smith-Waterman alignment of whole words scores the
 surroundings. A text counts as contaminated when the best alignment reaches a share of a perfect one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,19 +18,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sedge.llm.hashing import LETTERS, runs_of, word_hashes
 
-SEED_WORDS = 3
-STRETCH = 2
+SEED_WORDS = 2
+# Items of fewer words are their own seed.
+LEAST_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 AT_LEAST = 0.5
 # Items are worked through in blocks of at most so many words; each block is sent to all tasks.
 BLOCK_WORDS = 1_000_000
 # Cells of one batch of alignments.
 CELLS = 2_000_000
+# Seeds found at once; texts that have more are halved by rows.
+HITS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Items:
-    """A block of test items as word hashes, with their trigrams sorted by hash."""
+    """A block of test items as word hashes, with their seeds sorted by hash."""
 
     ids: list
     words: list[np.ndarray]
@@ -42,13 +43,13 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple]) -> "Items":
-        """From (id, text) pairs. Items with fewer words than a seed are their own seed."""
+        """From (id, text) pairs. Items of fewer than LEAST_WORDS words are their own seed."""
         column = pa.array([t for _, t in rows], pa.string())
         hashes, begins = word_hashes(column, LETTERS)
         words = [hashes[begins[k] : begins[k + 1]] for k in range(len(rows))]
         gram, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, own in enumerate(words):
-            found = runs_of(own, min(SEED_WORDS, len(own))) if len(own) else np.zeros(0, np.uint64)
+            found = runs_of(own, _seed_words(own)) if len(own) else np.zeros(0, np.uint64)
             gram.append(found)
             item.append(np.full(len(found), k))
             at.append(np.arange(len(found)))
@@ -56,23 +57,22 @@ class Items:
         order = np.lexsort((at, item, gram))
         return cls([i for i, _ in rows], words, gram[order], item[order], at[order])
 
-    def seeded(self, texts: dict[int, int]) -> "Items":
-        """With the rarest trigram of each stretch alone; ``texts`` counts the texts that have a trigram."""
-        seeds = set()
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for row, (k, at) in enumerate(zip(self.item.tolist(), self.at.tolist(), strict=True)):
-            by_item[k].append((at, row))
-        for places in by_item.values():
-            rows = [row for _, row in sorted(places)]
-            for begin in range(max(1, len(rows) - STRETCH + 1)):
-                stretch = rows[begin : begin + STRETCH]
-                seeds.add(min(stretch, key=lambda r: (texts.get(int(self.gram[r]), 0), r)))
-        keep = np.array(sorted(seeds), np.int64)
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.at[keep])
-
     def lengths(self) -> list[int]:
-        """Seeds have three words, or as many as a shorter item."""
-        return sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
+        return sorted({_seed_words(w) for w in self.words if len(w)})
+
+    def needed(self, at_least: float) -> np.ndarray:
+        """Seeds, at different words of the text, in any alignment of each item that reaches ``at_least``.
+
+        Of m matched words in a row m - 1 pairs are neighbours. Each pair that is no seed has lost a word of the item or gained two in the text, so
+        with the cost of 1 and 2 the score leaves (4 * at_least - 1) * words / 3 - 1 seeds at the fewest.
+        """
+        size = np.array([len(w) for w in self.words])
+        fewest = np.ceil((4 * at_least - 1) * size / 3 - 1 - 1e-9).astype(np.int64)
+        return np.where(size < LEAST_WORDS, 1, np.maximum(fewest, 1))
+
+
+def _seed_words(item: np.ndarray) -> int:
+    return SEED_WORDS if len(item) >= LEAST_WORDS else len(item)
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,58 +123,50 @@ def _aligned(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _hits(words: np.ndarray, begins: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``items.gram`` and the words' positions at which they occur."""
-    rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _hits(words: np.ndarray, begins: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the words at which seeds occur, the first row of ``items.gram`` of each, and how many rows there are."""
+    places, firsts, manys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     row_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     for n in items.lengths():
-        runs = runs_of(words, n)
-        if not len(runs):
-            continue
-        first = np.searchsorted(items.gram, runs, "left")
-        at = np.flatnonzero((first < len(items.gram)) & (items.gram[np.minimum(first, len(items.gram) - 1)] == runs))
-        at = at[row_of[at] == row_of[at + n - 1]]
-        lo = first[at]
-        many = np.searchsorted(items.gram, runs[at], "right") - lo
-        place = np.repeat(at, many)
-        rows.append(np.repeat(lo, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many))
-        places.append(place)
-    return np.concatenate(rows), np.concatenate(places)
-
-
-def _text_counts(texts: DataFrame, items: Items) -> dict[int, int]:
-    """Texts per trigram of the items; to the driver go as many numbers as a block has trigrams."""
-    sent = texts.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches):
-        own = sent.value
-        total = np.zeros(len(own.gram), np.int64)
-        for batch in batches:
-            words, begins = word_hashes(batch.column(1), LETTERS)
-            rows, places = _hits(words, begins, own)
-            text = np.searchsorted(begins, places, "right") - 1
-            seen = np.unique(np.stack([text, rows], 1), axis=0)
-            total += np.bincount(seen[:, 1], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.gram[used].astype(np.int64)), pa.array(total[used])], names=["gram", "texts"])
-
-    counted = texts.mapInArrow(count, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
-    return {int(np.int64(r["gram"]).astype(np.uint64)): r["texts"] for r in counted.collect()}
-
-
-def _candidates(words: np.ndarray, begins: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(row, item, first word, end) of the stretches of text that seeds point at; overlapping ones are one."""
-    rows, places = _hits(words, begins, items)
-    if not len(rows):
+        found = [(runs_of(words, n), n)]
+        if n == SEED_WORDS:
+            found.append((runs_of(np.stack([words[:-2], words[2:]], 1).reshape(-1), 2)[::2], 3))
+        for runs, wide in found:
+            if not len(runs):
+                continue
+            first = np.searchsorted(items.gram, runs, "left")
+            at = np.flatnonzero((first < len(items.gram)) & (items.gram[np.minimum(first, len(items.gram) - 1)] == runs))
+            at = at[row_of[at] == row_of[at + wide - 1]]
+            places.append(at)
+            firsts.append(first[at])
+            manys.append(np.searchsorted(items.gram, runs[at], "right") - first[at])
+    return np.concatenate(places), np.concatenate(firsts), np.concatenate(manys)
+
+
+def _candidates(words: np.ndarray, begins: np.ndarray, items: Items, at_least: float) -> list[tuple[int, int, int, int]]:
+    """(row, item, first word, end) of the stretches of text with enough seeds of an item; overlapping ones are one."""
+    at, lo, many = _hits(words, begins, items)
+    if not len(at):
         return []
-    text = np.searchsorted(begins, places, "right") - 1
-    item = items.item[rows]
-    size = np.array([len(w) for w in items.words])[item]
-    start = places - items.at[rows]
-    room = size // 2 + 4
-    low, high = np.maximum(start - room, begins[text]), np.minimum(start + size + room, begins[text + 1])
+    rows = len(begins) - 1
+    if many.sum() > HITS and rows > 1:
+        out = []
+        for a, b in ((0, rows // 2), (rows // 2, rows)):
+            part = _candidates(words[begins[a] : begins[b]], begins[a : b + 1] - begins[a], items, at_least)
+            out += [(row + a, item, low + int(begins[a]), high + int(begins[a])) for row, item, low, high in part]
+        return out
+    place = np.repeat(at, many)
+    item = items.item[np.repeat(lo, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
+    item, place = np.divmod(np.unique(item * len(words) + place), len(words))
+    text = np.searchsorted(begins, place, "right") - 1
+    # No alignment that reaches the bound is longer: each word of the text without a match costs 1.
+    reach = np.ceil(np.array([len(w) for w in items.words]) * (3 - 2 * at_least)).astype(np.int64)[item] + 1
+    last = np.arange(len(place)) + items.needed(at_least)[item] - 1
+    real = np.minimum(last, len(place) - 1)
+    enough = (last < len(place)) & (item[real] == item) & (text[real] == text) & (place[real] - place <= reach)
+    low, high = np.maximum(place - reach, begins[text]), np.minimum(place + reach + 1, begins[text + 1])
     out: list[tuple[int, int, int, int]] = []
-    for k in np.lexsort((low, item, text)).tolist():
+    for k in np.flatnonzero(enough).tolist():
         this = (int(text[k]), int(item[k]), int(low[k]), int(high[k]))
         if out and out[-1][:2] == this[:2] and this[2] <= out[-1][3]:
             out[-1] = (*out[-1][:3], max(out[-1][3], this[3]))
@@ -190,7 +182,7 @@ def contaminated(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     letters and digits, without case, and are counted from 0. Null, empty and wordless texts and items are found nowhere and contain nothing.
     Rows that repeat, or have a null key, are reported one by one; items that repeat are reported each. Empty tables give no rows, and
     only the named columns are read. Items may be any number: they are read in blocks of bounded size, each of
-    which goes over all texts.
+    which goes over all texts. Items of four words or more are found wherever the alignment reaches ``at_least``, if that is a half or more.
     """
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind, item_kind = dict(df.dtypes)[key], dict(items.dtypes)[item_key]
@@ -201,7 +193,7 @@ def contaminated(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
         all_grams = Items.of(block)
         if not len(all_grams.gram):
             continue
-        sent = df.sparkSession.sparkContext.broadcast(all_grams.seeded(_text_counts(texts, all_grams)))
+        sent = df.sparkSession.sparkContext.broadcast(all_grams)
         found = found.unionByName(texts.mapInArrow(_searcher(sent, at_least, key, item_type), ddl))
     return found
 
@@ -224,7 +216,7 @@ def _searcher(sent, at_least: float, key: str, item_type: pa.DataType):
         items = sent.value
         for batch in batches:
             words, begins = word_hashes(batch.column(1), LETTERS)
-            places = _candidates(words, begins, items)
+            places = _candidates(words, begins, items, at_least)
             if not places:
                 continue
             scored = _aligned([items.words[i] for _, i, _, _ in places], [words[a:b] for _, _, a, b in places])

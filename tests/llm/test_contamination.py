@@ -70,6 +70,28 @@ def test_planted_copies(spark, monkeypatch):
     assert {(r["doc_id"], r["item"]) for r in cut} == want
 
 
+@pytest.mark.parametrize("hits", [C.HITS, 20])
+def test_copies_edited_throughout_against_plain_alignment(spark, monkeypatch, hits):
+    monkeypatch.setattr(C, "HITS", hits)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 4)))
+    items = {k: [word() for _ in range(rng.randint(4, 30))] for k in range(12)}
+    documents = {}
+    for k in range(240):
+        own = list(items[k % 12])
+        if k % 5 < 3:
+            own = [word() if at % (k % 5 + 3) == k % 3 else w for at, w in enumerate(own)]
+        if k % 5 == 3:
+            own = [w for x in own for w in (x, word())]
+        if k % 5 == 4:
+            own = [w for w in own if rng.random() < 0.75]
+        documents[k] = [word() for _ in range(k % 7)] + own + [word() for _ in range(k % 4)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in documents.items()], "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item"]) for r in C.contaminated(df, "doc_id", "text", tests, "item_id", "text").collect()}
+    assert found == {(d, i) for d, ws in documents.items() for i, own in items.items() if plain_score(own, ws) >= len(own)}
+
+
 def test_common_copies_are_found_all_the_same(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     df = spark.range(300).selectExpr("id AS doc_id", f"concat('x', id, ' {item} y', id) AS text")
