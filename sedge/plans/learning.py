@@ -85,18 +85,9 @@ def regression_linear(spark: SparkSession, sf: str) -> DataFrame:
     return _board(done)
 
 
-TREE_GRIDS = {
-    "rf": {"n_estimators": [20], "max_depth": [5, 10], "min_samples_split": [2]},
-    "gbr": {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3]},
-}
-
-
 @registry.query()
 def regression_trees(spark: SparkSession, sf: str) -> DataFrame:
-    done = regress.train_models(
-        line_split(spark, sf), FEATURES, "l_extendedprice", ID, enabled=["rf", "gbr"], grids=TREE_GRIDS, folds=3
-    )
-    return _board(done)
+    return _board(regress.train_models(line_split(spark, sf), FEATURES, "l_extendedprice", ID, enabled=["rf", "gbr"]))
 
 
 # --- text coders ------------------------------------------------------------
@@ -193,7 +184,7 @@ def coder_confusion(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query()
 def text_coder_cv(spark: SparkSession, sf: str) -> DataFrame:
     rows = labeled_documents(spark, sf).where("task = 'quality'")
-    done = coder.evaluate_task(rows, "quality", "doc_id", models=["logreg", "linear_svc", "nb"], cv=3)
+    done = coder.evaluate_task(rows, "quality", "doc_id")
     return coder.cv_summary(coder.fold_scores(done.predictions))
 
 
@@ -202,7 +193,7 @@ def coder_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = labeled_documents(spark, sf)
     texts = table(spark, sf, "documents").select("doc_id", "text")
     folder = scratch_path(spark, "coder")
-    coder.run_coding(texts, rows.select("doc_id", "task", "label"), folder, "doc_id", models=["nb"], cv=2)
+    coder.run_coding(texts, rows.select("doc_id", "task", "label"), folder, "doc_id")
     return coder.predict_codes(folder, texts.withColumnRenamed("text", "body"), F.col("body")).drop("body")
 
 

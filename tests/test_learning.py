@@ -143,3 +143,25 @@ def test_features_match_the_relational_weights(spark):
         got |= {(r["id"], vocabulary[i]): v for i, v in zip(r["_features"].indices, r["_features"].values)}
     want = {(r["id"], r["term"]): r["weight"] for r in tfidf(df, "id", "t", stopwords=["the"]).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_model_queries_run_the_whole_grids(spark, monkeypatch):
+    from sedge.operators import coder as coders
+    from sedge.operators import regress as regressors
+    from sedge.plans import learning
+
+    class Seen(Exception):
+        pass
+
+    def stop(*given, **named):
+        raise Seen(named)
+
+    for module, name in ((regressors, "train_models"), (coders, "evaluate_task"), (coders, "run_coding")):
+        monkeypatch.setattr(module, name, stop)
+    for query in (learning.regression_trees, learning.text_coder_cv, learning.coder_predictions):
+        try:
+            query(spark, "/root/testdata/sf0.001")
+        except Seen as seen:
+            assert not {"grids", "folds", "models", "cv", "trees"} & seen.args[0].keys()
+        else:
+            raise AssertionError("not called")
