@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import contamination, digest_merge, jump, near, packing, pseudo, quality, separators, toxicity, urls
+from sedge.llm import (
+    contamination, digest_merge, jump, near, packing, periods, pseudo, quality, resampling, separators, token_store, toxicity, urls,
+)
 from sedge.llm.scratch import scratch_path
 from sedge.llm.tokens import vocabulary_path
 from sedge.plans.registry import Registry, table
@@ -149,3 +151,55 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = contamination.contaminated(documents, "doc_id", "text", benchmark, "item_id", "text")
     return found.withColumnRenamed("item", "item_id")
+
+
+@registry.query()
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the test items, and the twentieth of them that is drawn."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = resampling.resample(documents, "doc_id", "text", benchmark, "text")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@registry.query()
+def op12_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as coded token files, read back."""
+    path = scratch_path(spark, "coded-tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path(), path, end_id=2)
+    read = token_store.read_tokens(spark, path)
+    return read.select(F.col("key").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def with_repeats(key: str, text: str) -> Column:
+    """The text; where the key's checksum ends in 0, its words from a place on repeat a stretch from there."""
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        repeat = lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))
+        return F.array_join(F.transform(words, repeat), " ")
+
+    # Behind a lambda, the words are split once and not once per word.
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, F.transform(F.array(words), planted)[0]).otherwise(F.col(text))
+
+
+@registry.query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which have repeats put in, and the digest of the text without them."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", with_repeats("doc_id", "text").alias("text"))
+    found = periods.periodic_runs(documents, "doc_id", "text")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.aggregate("runs", none, better).alias("best"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
