@@ -76,31 +76,42 @@ class Spans:
     def same(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Whether pairs of spans, given by number, hold the same bytes."""
         out = self.size[one] == self.size[other]
-        left, a, b = self.size[one], self.at[one], self.at[other]
         pairs = np.flatnonzero(out)
-        while len(pairs):
-            n = left[pairs]
-            differ = self.words[a[pairs]] ^ self.words[b[pairs]]
-            differ &= ~np.uint64(0) >> (np.uint64(64) - np.minimum(n, 8).astype(np.uint64) * np.uint64(8)) if (n > 0).all() else np.where(
-                n > 0, ~np.uint64(0) >> (np.uint64(64) - np.clip(n, 1, 8).astype(np.uint64) * np.uint64(8)), np.uint64(0)
-            )
-            out[pairs[differ != 0]] = False
-            pairs = pairs[(differ == 0) & (n > 8)]
-            left[pairs] -= 8
-            a[pairs] += 8
-            b[pairs] += 8
+        out[pairs] = equal_bytes(self.words, self.at[one[pairs]], self.words, self.at[other[pairs]], self.size[one[pairs]])
         return out
 
 
+# What counts of eight bytes, by the number of bytes left.
+MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def equal_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of two buffers, given as eight bytes from every place on, are the same."""
+    out, pairs, done = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(pairs):
+        left = size[pairs] - done
+        differ = ((one[at[pairs] + done] ^ other[there[pairs] + done]) & MASKS[np.minimum(left, 8)]) != 0
+        out[pairs[differ]] = False
+        pairs = pairs[~differ & (left > 8)]
+        done += 8
+    return out
+
+
 def intern(spans: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each span, first span of each slot, spans per slot): equal spans share a slot, different ones never do.
+    """(slot of each span, first span of each slot, spans per slot): equal spans share a slot, different ones never do."""
+    slots, first, counts, _ = interned(spans)
+    return slots, first, counts
+
+
+def interned(spans: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``intern``, with the hash of each slot.
 
     Slots are numbered from 0 in the order of the table; the table has at least twice as many places as there are spans.
     """
     n = len(spans.at)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, np.zeros(0, np.uint64)
     places = 1 << int(2 * n - 1).bit_length()
     hashes = spans.hashes()
     holder = np.full(places, -1, np.int64)
@@ -123,4 +134,68 @@ def intern(spans: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.empty(places, np.int64)
     number[held] = np.arange(len(held))
     slots = number[settled]
-    return slots, holder[held], np.bincount(slots, minlength=len(held))
+    return slots, holder[held], np.bincount(slots, minlength=len(held)), hashes[holder[held]]
+
+
+class Dictionary:
+    """Strings of up to 64 bytes with a value of a few numbers each, kept from part to part; when full it starts anew."""
+
+    LONGEST = 64
+
+    def __init__(self, most: int):
+        self.most, self.places = most, 1 << int(2 * most).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.hash, self.entry = np.zeros(self.places, np.uint64), np.full(self.places, -1, np.int32)
+        self.at, self.size = np.zeros(self.most + 1, np.int64), np.zeros(self.most, np.int64)
+        self.value_at, self.value_size = np.zeros(self.most + 1, np.int64), np.zeros(self.most, np.int64)
+        self.bytes, self.values = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint32)
+
+    def find(self, spans: Spans, picked: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each picked span, -1 where there is none."""
+        found = np.full(len(picked), -1, np.int64)
+        words = np.ndarray((len(self.bytes) - PAD,), "<u8", self.bytes.data, strides=(1,))
+        place, open_ = (hashes & np.uint64(self.places - 1)).astype(np.int64), np.arange(len(picked))
+        while len(open_):
+            entry = self.entry[place[open_]]
+            there = entry >= 0
+            open_, entry = open_[there], entry[there]
+            right = (self.hash[place[open_]] == hashes[open_]) & (self.size[entry] == spans.size[picked[open_]])
+            at = np.flatnonzero(right)
+            right[at] = equal_bytes(spans.words, spans.at[picked[open_[at]]], words, self.at[entry[at]], self.size[entry[at]])
+            found[open_[right]] = entry[right]
+            open_ = open_[~right]
+            place[open_] = (place[open_] + 1) & (self.places - 1)
+        return found
+
+    @staticmethod
+    def _room(array: np.ndarray, upto: int) -> np.ndarray:
+        return array if len(array) >= upto else np.concatenate([array, np.zeros(max(upto - len(array), len(array)), array.dtype)])
+
+    def enter(self, hashes: np.ndarray, names: list[bytes], values: list[bytes]) -> None:
+        """New strings, each different, with values of unsigned 32-bit numbers."""
+        if self.n + len(names) > self.most:
+            self.clear()
+            hashes, names, values = hashes[: self.most], names[: self.most], values[: self.most]
+        new = np.arange(self.n, self.n + len(names))
+        self.size[new], self.value_size[new] = [len(x) for x in names], [len(x) // 4 for x in values]
+        self.at[new + 1] = self.at[self.n] + np.cumsum(self.size[new])
+        self.value_at[new + 1] = self.value_at[self.n] + np.cumsum(self.value_size[new])
+        begin, end = (int(self.at[k]) for k in (self.n, self.n + len(names)))
+        self.bytes = self._room(self.bytes, end + 2 * PAD)
+        self.bytes[begin:end] = np.frombuffer(b"".join(names), np.uint8)
+        begin, end = (int(self.value_at[k]) for k in (self.n, self.n + len(names)))
+        self.values = self._room(self.values, end)
+        self.values[begin:end] = np.frombuffer(b"".join(values), "<u4")
+        place, open_ = (hashes & np.uint64(self.places - 1)).astype(np.int64), np.arange(len(new))
+        while len(open_):
+            free = self.entry[place[open_]] < 0
+            at = open_[free]
+            self.entry[place[at]] = new[at]
+            won = at[self.entry[place[at]] == new[at]]
+            self.hash[place[won]] = hashes[won]
+            open_ = open_[self.entry[place[open_]] != new[open_]]
+            place[open_] = (place[open_] + 1) & (self.places - 1)
+        self.n += len(names)

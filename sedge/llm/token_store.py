@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer
 
 from sedge.llm.scratch import materialized
 from sedge.llm.slicing import by_bytes
-from sedge.llm.tokens import word_tokens
+from sedge.llm.word_ids import column_tokens
 
 MAGIC = 0x534E4152
 LANES, BLOCK, CHECKPOINT = 32, 1 << 16, 256
@@ -95,11 +97,14 @@ class Coder:
         points = -(-rounds // CHECKPOINT)
         states, places = np.zeros((points, len(blocks), LANES), np.uint64), np.zeros((points, len(blocks)), np.int64)
         lane = np.arange(LANES)
+        whole_rounds = int(sizes.min()) // LANES
         for r in range(rounds - 1, -1, -1):
-            real = r * LANES + lane[None, :] < sizes[:, None]
             now = ids[:, r]
-            freq = np.where(real, self.freq[now], np.uint64(1))
-            out = real & ((state >> room) >= freq)
+            freq = self.freq[now]
+            out = (state >> room) >= freq
+            if r >= whole_rounds:
+                real = r * LANES + lane[None, :] < sizes[:, None]
+                freq, out = np.where(real, freq, np.uint64(1)), out & real
             many = out.sum(1)
             if many.any():
                 # The stream is written from its end: the last lane first.
@@ -109,7 +114,8 @@ class Coder:
                 state = np.where(out, state >> WORD, state)
                 filled += many
             whole = state // freq
-            state = np.where(real, (whole << bits) + (state - whole * freq) + self.before[now], state)
+            coded = (whole << bits) + (state - whole * freq) + self.before[now]
+            state = coded if r < whole_rounds else np.where(real, coded, state)
             if r % CHECKPOINT == 0:
                 states[r // CHECKPOINT], places[r // CHECKPOINT] = state, filled
         out = []
@@ -134,12 +140,13 @@ class Coder:
         place = np.array([streams[id(s[2])] + s[1] for s in stretches])
         ids = np.zeros((len(stretches), rounds, LANES), np.uint32)
         mask, bits, lane = np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.arange(LANES)
+        whole_rounds = int(sizes.min()) // LANES
         for r in range(rounds):
-            real = r * LANES + lane[None, :] < sizes[:, None]
             slot = state & mask
             now = lookup[slot]
             ids[:, r] = now
-            state = np.where(real, self.freq[now] * (state >> bits) + slot - self.before[now], state)
+            read = self.freq[now] * (state >> bits) + slot - self.before[now]
+            state = read if r < whole_rounds else np.where(r * LANES + lane[None, :] < sizes[:, None], read, state)
             need = state < LOW
             rank = np.cumsum(need, 1)
             at = np.minimum(place[:, None] + rank - 1, len(words) - 1)
@@ -220,7 +227,7 @@ def _times_x(value: int, bytes_: int) -> int:
     return value
 
 
-def _encoder(table, key_column: str):
+def _encoder(table, kind: str):
     """Blocks of one range of documents, which arrive in order."""
 
     def encode(batches):
@@ -237,7 +244,7 @@ def _encoder(table, key_column: str):
 
         for batch in by_bytes(batches, 1):
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, done = np.frombuffer(ids.as_buffer(), "<u4"), 0
+                ids, done = np.frombuffer(ids.as_buffer(), kind), 0
                 name = None if key is None else key.encode()
                 while done < len(ids):
                     take = min(BLOCK - held, len(ids) - done)
@@ -260,38 +267,51 @@ def _encoder(table, key_column: str):
 
 
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str, end_id: int) -> DataFrame:
-    """``key`` as it is and ``ids`` (unsigned 32-bit, little-endian) of each row, the end id included."""
-    end = struct.pack("<I", end_id)
+    """``key, ids, id, n``: a row per row with its key as it is and its ids, the end id included; and per task and id a row with how often it came.
+
+    Ids are unsigned and little-endian, of ``id_bytes`` bytes. Rows of counts have no ``ids``.
+    """
+    kind = df.select(key).schema[0].dataType
+    key_type, name = to_arrow_type(kind), f"<u{id_bytes(vocabulary, end_id)}"
 
     def encode(batches):
-        tokens = word_tokens(vocabulary)
+        tokens, total = column_tokens(vocabulary), np.zeros(0, np.int64)
         for batch in by_bytes(batches, 1):
-            ids = [tokens.encode(body) + end for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            ids, begins = tokens.encode(batch.column(1))
+            rows = len(batch)
+            ids = np.insert(ids, begins[1:], end_id)
+            total = _added(total, np.bincount(ids))
+            data = ids.astype(name)
+            at = ((begins + np.arange(rows + 1)) * data.itemsize).astype(np.int64)
+            packed = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
+        used = np.flatnonzero(total)
+        none = pa.nulls(len(used), key_type), pa.nulls(len(used), pa.binary())
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used), pa.array(total[used])], names=names)
 
-    kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(encode, f"key {kind}, ids binary")
+    names = ["key", "ids", "id", "n"]
+    ddl = f"key {kind.simpleString()}, ids binary, id long, n long"
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(encode, ddl)
 
 
-def id_counts(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs; one number per id of the vocabulary reaches the driver."""
+def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts."""
+    out = np.zeros(max(len(one), len(other)), np.int64)
+    out[: len(one)] += one
+    out[: len(other)] += other
+    return out
 
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                own = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max((r["id"] + 1 for r in rows), default=0), np.int64)
-    for r in rows:
+def id_bytes(vocabulary: str, end_id: int) -> int:
+    """Bytes that hold every id of a vocabulary."""
+    return 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs; one number per id of the vocabulary reaches the driver."""
+    found = rows.filter("ids is null").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max((r["id"] + 1 for r in found), default=0), np.int64)
+    for r in found:
         out[r["id"]] = r["n"]
     return out
 
@@ -312,8 +332,9 @@ def write_tokens(df: DataFrame, key: str, text: str, vocabulary: str, path: str,
     table = spark.sparkContext.broadcast((freq, SCALE_BITS))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc_nulls_first("key"), F.asc("row")]
-    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.col("key").cast("string"), "ids")
-    blocks = ordered.mapInArrow(_encoder(table, "key"), "block binary")
+    texts = rows.filter("ids is not null").select("key", "ids", "row")
+    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.col("key").cast("string"), "ids")
+    blocks = ordered.mapInArrow(_encoder(table, f"<u{id_bytes(vocabulary, end_id)}"), "block binary")
     # The text sink writes a string's bytes as they are.
     lines = blocks.select(F.col("block").cast("string").alias("value"))
     writer = lines.write.option("encoding", "ISO-8859-1").option("lineSep", LINE_END.decode()).option("maxRecordsPerFile", FILE_BLOCKS)

@@ -1,6 +1,7 @@
 """Cached word ids against the whole tokenizer, and counts from flat files against both."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,18 @@ def test_small_blocks_give_the_same_counts(spark, tmp_path):
     assert whole == cut and len(whole) == docs.count()
     with pytest.raises(ValueError, match="whole ids"):
         S.count_tokens(spark, str(tmp_path / "t"), block_bytes=3)
+
+
+def test_columns_as_single_texts(tokenizer):
+    from sedge.llm.word_ids import ColumnTokens
+
+    texts = [None, "", *TRICKY, "a <|endoftext|> b", "x\x1cy z", "é ü q", "<|", "d'ÉTÉ, l'a.b", "w" * 100 + " end", "many " * 50, "日本 語.", "á b"]
+    one = WordTokens(vocabulary_path())
+    for known in (3, 10_000):  # a dictionary that overflows all the time, and one that never does
+        columns = ColumnTokens(vocabulary_path(), known=known)
+        for _ in range(3):
+            ids, begins = columns.encode(pa.array(texts))
+            for k, text in enumerate(texts):
+                assert ids[begins[k] : begins[k + 1]].tobytes() == one.encode(text)
+                assert ids[begins[k] : begins[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert [len(x) for x in columns.encode(pa.array([], pa.string()))] == [0, 1]
