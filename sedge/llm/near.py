@@ -423,7 +423,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80) -> Da
 
 
 def one_of_each(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose key is their component's smallest; rows with a null key stay."""
-    found = near_duplicates(df, key, text, percent)
-    drop = found.filter(F.col(key) != F.col("component_id")).select(key)
-    return df.join(drop.distinct(), key, "left_anti").select(df.columns)
+    """The rows of ``df`` that stay: of each component the row with the smallest key, with all its columns.
+
+    A row is known by its key and text together, so a different text that shares its key with a near copy is judged by itself, and of a
+    component's texts that share the smallest key one stays; rows equal in both share their fate. Rows with a null key stay.
+    """
+    keyed = df.filter(F.col(key).isNotNull())
+    row = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    rows = keyed.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("body"))
+    found = near_duplicates(rows.select("row", "body"), "row", "body", percent)
+    held = found.select("row", "component_id").join(rows.select("row", "key"), "row").groupBy("component_id")
+    stays = held.agg(F.min(F.struct("key", "row")).alias("best")).select(F.col("best.row").alias("_row"))
+    kept = keyed.withColumn("_row", row).join(stays, "_row", "left_semi").drop("_row")
+    return kept.unionByName(df.filter(F.col(key).isNull()))

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sedge.llm import contamination as C
+from sedge.llm.hashing import LETTERS, runs_of, word_hashes
 
 
 def plain_score(a, b):
@@ -65,14 +67,26 @@ def test_planted_copies(spark, monkeypatch):
     for r in found:
         held = documents[r["doc_id"]].lower().replace(",", "").split()[r["first_word"] : r["end_word"]]
         assert plain_score(items[r["item"]], held) / (2 * len(items[r["item"]])) == pytest.approx(r["score"])
-    monkeypatch.setattr(C, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(C, "BIT_TABLE", 8)  # nearly every bit is set: all is left to the joins
     cut = C.contaminated(df, "doc_id", "text", tests, "item_id", "text").collect()
     assert {(r["doc_id"], r["item"]) for r in cut} == want
 
 
-@pytest.mark.parametrize("hits", [C.HITS, 20])
-def test_copies_edited_throughout_against_plain_alignment(spark, monkeypatch, hits):
-    monkeypatch.setattr(C, "HITS", hits)
+@pytest.mark.parametrize("part", [1, 3, 7, 1000])
+def test_parts_lose_no_seed(part):
+    texts = ["a b c d e f", None, "", "x", "a b", "c a b b c a"]
+    every = np.full(1 << (C.BIT_TABLE - 6), ~np.uint64(0))
+    rows = sorted((r, p, g) for x in C._seed_places(pa.array(texts), every, [1, 2, 3], part) for r, p, g in zip(*(y.tolist() for y in x), strict=True))
+    want = []
+    for k, t in enumerate(texts):
+        words = word_hashes(pa.array([t], pa.string()), LETTERS)[0]
+        for n in (1, 2, 3):
+            want += [(k, at, int(runs_of(words[at : at + n], n)[0])) for at in range(len(words) - n + 1)]
+        want += [(k, at, int(runs_of(words[[at, at + 2]], 2)[0])) for at in range(len(words) - 2)]
+    assert rows == sorted(want)
+
+
+def test_copies_edited_throughout_against_plain_alignment(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 4)))
     items = {k: [word() for _ in range(rng.randint(4, 30))] for k in range(12)}
@@ -108,3 +122,31 @@ def test_odd_rows(spark):
     assert got == sorted([(k, 1, 1.0) for k in (4, 4, None, 5) for _ in range(2)] + [(6, 4, 1.0), (7, None, 1.0)], key=repr)
     assert C.contaminated(df.filter("false"), "doc_id", "text", tests, "item_id", "text").count() == 0
     assert C.contaminated(df, "doc_id", "text", tests.filter("false"), "item_id", "text").count() == 0
+
+
+def test_common_pairs_are_left_out_and_nothing_is_lost(spark):
+    """Many items share their most frequent pairs, which also fill one long text."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6)))
+    items = {k: ["of", "the"] + [word() for _ in range(10)] + ["of", "the"] + [word() for _ in range(8)] for k in range(40)}
+    documents = {1: ["of", "the"] * 6000 + items[7] + ["of", "the"] * 3000, 2: ["of", "the", "of"] * 20, 3: items[9][::2] + ["of", "the"] * 50}
+    documents[4] = [w if at % 4 else word() for at, w in enumerate(items[11])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in documents.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item"]) for r in C.contaminated(df, "doc_id", "text", tests, "item_id", "text").collect()}
+    assert found == {(1, 7), (4, 11)} and all(plain_score(items[i], documents[d]) >= len(items[i]) for d, i in found)
+    assert plain_score(items[9], documents[3]) < len(items[9])
+    known = C._item_words(tests, "text")
+    kept = C._item_seeds(known, 0.5)
+    assert kept.count() == sum(len(w) - 1 for w in items.values())
+
+
+def test_rows_go_by_their_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, "x " + item, 1), (1, item + " y", 2), (1, "clean text of the same key", 3), (None, "clean text without a key", 4), (2, None, 5), (2, None, 5), (3, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d1 int")
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = C.uncontaminated(df, "text", tests, "text")
+    assert left.columns == df.columns and sorted(r["d1"] for r in left.collect()) == [3, 4, 5, 5, 6]
+    assert C.uncontaminated(df, "text", tests.filter("false"), "text").count() == 7
+    assert C.uncontaminated(df.filter("false"), "text", tests, "text").count() == 0
