@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: each stage reads what the one before it kept."""
+"""From raw documents to packed sequences: each stage reads what the one before it kept.
+
+All stages take null and empty texts for texts without words, keep rows whose doc_id is null or shared by different texts apart by
+their texts, leave one row of equal ones, and give an empty table for an empty one. Other columns travel along unread.
+"""
 
 from __future__ import annotations
 
@@ -34,9 +38,8 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unseen_in_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a test item."""
-    found = contamination.contaminated(docs, "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without a copy of a test item; a document goes by its text, whatever its doc_id."""
+    return contamination.uncontaminated(docs, "text", _table(spark, sf_dir, "benchmark"), "text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
