@@ -1,22 +1,22 @@
-"""Token ids in coded files: a static range asymmetric numeral system over one shared frequency table.
+"""Token ids in coded files: a static range asymmetric numeral system over shared frequency tables.
 
-A store is a folder with ``table`` (one line of JSON: the shared frequencies and the settings) and ``parts``, binary files that are blocks one behind
-the other. A block holds up to ``BLOCK`` ids of neighbouring documents and needs nothing but the table to be decoded:
+A store is a folder of binary files, which are groups of blocks one behind the other. A group starts with the frequency table that its blocks share; a
+block holds up to ``BLOCK`` ids of neighbouring documents and needs nothing but that table to be decoded:
 
 * the ids are dealt to ``LANES`` lanes in turn; every lane is a coder state of 64 bits, and all lanes of a block share one stream of 32-bit words;
 * a checkpoint every ``CHECKPOINT`` rounds keeps the lanes' states and the place in the stream, so decoders can start at any of them;
 * a directory names the documents in the block, and checksums cover the stored bytes and the ids that must come out.
 
-All numbers are little-endian: ``magic, total bytes, range, serial, ids, documents, words, checkpoints, checksum of what follows, checksum of the ids``
-as unsigned 32-bit integers, then the first id's place within the range (64 bits), the directory, the checkpoints and the stream. Blocks are numbered through
-a ``range`` of the documents' order, so a reader finds every document's place by sums over the blocks' heads alone.
+All numbers are little-endian. A group begins with ``magic, total bytes, scale bits, different ids, bytes of the table, checksum of the table`` as unsigned 32-bit
+integers and the table: its ids, then their frequencies, compressed. A block begins with ``magic, total bytes, range, serial, ids, documents, words, checkpoints,
+checksum of what follows, checksum of the ids`` and the first id's place within the range (64 bits); the directory, the checkpoints and the stream follow. A range is a
+stretch of the documents' order, so a reader finds every document's place by sums over ranges.
 
 Encoding and decoding advance all lanes of all blocks (or stretches between checkpoints) at hand together.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,24 +27,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from sedge.llm.scratch import materialized
 from sedge.llm.slicing import by_bytes
 from sedge.llm.word_ids import column_tokens
+from sedge.operators.ordering import order_cuts, with_range
 
 MAGIC = 0x534E4152
 LANES, BLOCK, CHECKPOINT = 32, 1 << 16, 256
 SCALE_BITS = 20
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
-# Ids that are encoded together, and blocks of one file.
-TOGETHER, FILE_BLOCKS = 64 * BLOCK, 256
+# Blocks that share a table and are encoded together, blocks decoded together, and groups of one file.
+GROUP_BLOCKS, DECODED_BLOCKS, FILE_GROUPS = 64, 16, 4
 HEAD = struct.Struct("<10Iq")
 # A document's entry: its number in the range, ids in all, ids before this block, ids in it, bytes of its key (or NO_KEY).
 ENTRY = struct.Struct("<4qI")
 NO_KEY = 0xFFFFFFFF
-# Every block is a line of the text sink; this byte ends it.
+GROUP_MAGIC, GROUP_HEAD = 0x50554F47, struct.Struct("<6I")
+# Every group is a line of the text sink; this byte ends it.
 LINE_END = b"\n"
 
 
@@ -166,7 +167,7 @@ def packed_blocks(coder: Coder, range_: int, first: int, place: int, blocks: lis
         entries = b"".join(ENTRY.pack(*d[:4], NO_KEY if d[4] is None else len(d[4])) + (d[4] or b"") for d in documents)
         body = entries + places.astype("<u4").tobytes() + states.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
         head = HEAD.pack(
-            MAGIC, HEAD.size + len(body) + len(LINE_END), range_, first + k, len(ids), len(documents), len(stream), len(places), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()), place
+            MAGIC, HEAD.size + len(body), range_, first + k, len(ids), len(documents), len(stream), len(places), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()), place
         )
         place += len(ids)
         yield head + body
@@ -183,11 +184,11 @@ class Block:
 
 
 def unpacked_blocks(content: memoryview) -> Iterator[Block]:
-    """The blocks of a file; damaged ones raise."""
+    """The blocks of a group; damaged ones raise."""
     at = 0
     while at < len(content):
         magic, size, range_, serial, n, documents, words, points, check, crc, place = HEAD.unpack_from(content, at)
-        body = content[at + HEAD.size : at + size - len(LINE_END)]
+        body = content[at + HEAD.size : at + size]
         if magic != MAGIC or zlib.crc32(body) != check:
             raise ValueError(f"block {serial} of range {range_} is damaged")
         found, inner = [], 0
@@ -206,6 +207,34 @@ def unpacked_blocks(content: memoryview) -> Iterator[Block]:
         at += size
 
 
+def packed_group(range_: int, first: int, place: int, blocks: list[tuple[np.ndarray, list[Document]]]) -> bytes:
+    """Blocks with the table of their own frequencies in front."""
+    counts = np.zeros(1 + max(int(b.max()) for b, _ in blocks), np.int64)
+    for ids, _ in blocks:
+        counts[: int(ids.max()) + 1] += np.bincount(ids)
+    freq = quantised(counts)
+    used = np.flatnonzero(freq)
+    table = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + freq[used].astype("<u4").tobytes(), 1)
+    body = b"".join(packed_blocks(Coder.of(freq), range_, first, place, blocks))
+    head = GROUP_HEAD.pack(GROUP_MAGIC, GROUP_HEAD.size + len(table) + len(body) + len(LINE_END), SCALE_BITS, len(used), len(table), zlib.crc32(table))
+    return head + table + body
+
+
+def unpacked_groups(content: memoryview) -> Iterator[tuple[Coder, Iterator[Block]]]:
+    """Coder and blocks of each group of a file."""
+    at = 0
+    while at < len(content):
+        magic, size, bits, many, packed, check = GROUP_HEAD.unpack_from(content, at)
+        table = content[at + GROUP_HEAD.size : at + GROUP_HEAD.size + packed]
+        if magic != GROUP_MAGIC or zlib.crc32(table) != check:
+            raise ValueError(f"the table at byte {at} is damaged")
+        steps, used = np.split(np.frombuffer(zlib.decompress(table), "<u4").astype(np.int64), [many])
+        freq = np.zeros(int(steps.sum()) + 1, np.int64)
+        freq[np.cumsum(steps)] = used
+        yield Coder.of(freq, bits), unpacked_blocks(content[at + GROUP_HEAD.size + packed : at + size - len(LINE_END)])
+        at += size
+
+
 def _times_x(value: int, bytes_: int) -> int:
     """A checksum's polynomial times x**(8 * bytes_): what its text adds to the checksum of a text with so many bytes behind it."""
 
@@ -227,23 +256,23 @@ def _times_x(value: int, bytes_: int) -> int:
     return value
 
 
-def _encoder(table, kind: str):
-    """Blocks of one range of documents, which arrive in order."""
+def _encoder(kind: str, group_blocks: int):
+    """Groups of one range of documents, which arrive in order."""
 
     def encode(batches):
-        coder, range_ = Coder.of(*table.value), TaskContext.get().partitionId()
         blocks: list[tuple[np.ndarray, list[Document]]] = []
         parts, documents, held = [], [], 0
-        serial = place = number = 0
+        serial = place = number = range_ = 0
 
         def out():
             nonlocal blocks, serial, place
-            lines = list(packed_blocks(coder, range_, serial, place, blocks))
+            line = packed_group(range_, serial, place, blocks)
             serial, place, blocks = serial + len(blocks), place + sum(len(b) for b, _ in blocks), []
-            return pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["block"])
+            return pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], names=["block"])
 
-        for batch in by_bytes(batches, 1):
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for batch in by_bytes(batches, 2):
+            for own_range, key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                range_ = own_range  # one for all rows of a task
                 ids, done = np.frombuffer(ids.as_buffer(), kind), 0
                 name = None if key is None else key.encode()
                 while done < len(ids):
@@ -254,7 +283,7 @@ def _encoder(table, kind: str):
                     if held == BLOCK:
                         blocks.append((np.concatenate(parts), documents))
                         parts, documents, held = [], [], 0
-                        if len(blocks) * BLOCK >= TOGETHER:
+                        if len(blocks) >= group_blocks:
                             yield out()
                 number += 1
             parts = [p.copy() for p in parts]
@@ -266,79 +295,46 @@ def _encoder(table, kind: str):
     return encode
 
 
-def token_ids(df: DataFrame, key: str, text: str, vocabulary: str, end_id: int) -> DataFrame:
-    """``key, ids, id, n``: a row per row with its key as it is and its ids, the end id included; and per task and id a row with how often it came.
-
-    Ids are unsigned and little-endian, of ``id_bytes`` bytes. Rows of counts have no ``ids``.
-    """
-    kind = df.select(key).schema[0].dataType
-    key_type, name = to_arrow_type(kind), f"<u{id_bytes(vocabulary, end_id)}"
-
-    def encode(batches):
-        tokens, total = column_tokens(vocabulary), np.zeros(0, np.int64)
-        for batch in by_bytes(batches, 1):
-            ids, begins = tokens.encode(batch.column(1))
-            rows = len(batch)
-            ids = np.insert(ids, begins[1:], end_id)
-            total = _added(total, np.bincount(ids))
-            data = ids.astype(name)
-            at = ((begins + np.arange(rows + 1)) * data.itemsize).astype(np.int64)
-            packed = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
-        used = np.flatnonzero(total)
-        none = pa.nulls(len(used), key_type), pa.nulls(len(used), pa.binary())
-        yield pa.RecordBatch.from_arrays([*none, pa.array(used), pa.array(total[used])], names=names)
-
-    names = ["key", "ids", "id", "n"]
-    ddl = f"key {kind.simpleString()}, ids binary, id long, n long"
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(encode, ddl)
-
-
-def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The sum of two arrays of counts."""
-    out = np.zeros(max(len(one), len(other)), np.int64)
-    out[: len(one)] += one
-    out[: len(other)] += other
-    return out
-
-
 def id_bytes(vocabulary: str, end_id: int) -> int:
     """Bytes that hold every id of a vocabulary."""
     return 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
-    """How often each id occurs; one number per id of the vocabulary reaches the driver."""
-    found = rows.filter("ids is null").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max((r["id"] + 1 for r in found), default=0), np.int64)
-    for r in found:
-        out[r["id"]] = r["n"]
-    return out
+def _with_ids(rows: DataFrame, vocabulary: str, end_id: int, kind: str) -> DataFrame:
+    """``range, key, row`` as they are and ``ids`` in place of the text, the end id included."""
+    names = ["range", "key", "row", "ids"]
+
+    def encode(batches):
+        tokens = column_tokens(vocabulary)
+        for batch in by_bytes(batches, 3):
+            ids, begins = tokens.encode(batch.column(3))
+            data = np.insert(ids, begins[1:], end_id).astype(kind)
+            at = ((begins + np.arange(len(begins))) * data.itemsize).astype(np.int64)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), packed], names=names)
+
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.select("range", "key", "row", "text").mapInArrow(encode, f"range int, key {key}, row long, ids binary")
 
 
-def write_tokens(df: DataFrame, key: str, text: str, vocabulary: str, path: str, end_id: int) -> None:
+def write_tokens(df: DataFrame, key: str, text: str, vocabulary: str, path: str, end_id: int, group_blocks: int = GROUP_BLOCKS) -> None:
     """Every row's ids, with ``end_id`` behind each text, in ascending order of the key as a store below ``path``.
 
     Null and empty texts are the end id alone. Null keys come first; rows of one key are in the order of reading, and many of them are
-    still spread over ranges. An empty table gives a store without blocks. Other columns are not read. Keys are of any type that can be sorted
-    and turned into a string.
+    still spread over ranges. An empty table gives a store without blocks. Other columns are not read. Keys are numbers or strings.
+    Texts are encoded once: the ranges' ends come from a sample of the keys, and ids go straight to their range.
     """
-    spark = df.sparkSession
-    rows = materialized(token_ids(df, key, text, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
-    freq = quantised(id_counts(rows))
-    settings = {"bits": SCALE_BITS, "lanes": LANES, "checkpoint": CHECKPOINT, "end_id": end_id, "freq": freq.tolist()}
-    settings["check"] = zlib.crc32(freq.astype("<i8").tobytes())
-    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{path}/table")
-    table = spark.sparkContext.broadcast((freq, SCALE_BITS))
+    spark, kind = df.sparkSession, f"<u{id_bytes(vocabulary, end_id)}"
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_first("key"), F.asc("row")]
-    texts = rows.filter("ids is not null").select("key", "ids", "row")
-    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.col("key").cast("string"), "ids")
-    blocks = ordered.mapInArrow(_encoder(table, f"<u{id_bytes(vocabulary, end_id)}"), "block binary")
+    cuts = order_cuts(rows.select("key", "row"), ["key", "row"], ranges)
+    placed = _with_ids(with_range(rows, ["key", "row"], cuts, "range"), vocabulary, end_id, kind)
+    ordered = placed.repartitionById(len(cuts) + 1, "range").sortWithinPartitions(F.asc_nulls_first("key"), "row")
+    groups = ordered.select("range", F.col("key").cast("string"), "ids").mapInArrow(_encoder(kind, group_blocks), "block binary")
     # The text sink writes a string's bytes as they are.
-    lines = blocks.select(F.col("block").cast("string").alias("value"))
-    writer = lines.write.option("encoding", "ISO-8859-1").option("lineSep", LINE_END.decode()).option("maxRecordsPerFile", FILE_BLOCKS)
-    writer.text(f"{path}/parts")
+    lines = groups.select(F.col("block").cast("string").alias("value"))
+    writer = lines.write.option("encoding", "ISO-8859-1").option("lineSep", LINE_END.decode()).option("maxRecordsPerFile", FILE_GROUPS)
+    writer.text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -346,13 +342,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     ``start`` counts the ids of all documents before it. Checksums of the stored bytes and of the decoded ids are compared on the way,
     and damage raises an error. Documents that several blocks or files hold are put together from the checksums of
-    their pieces, or with ``ids`` from the pieces. A file is one task of at most FILE_BLOCKS blocks.
+    their pieces, or with ``ids`` from the pieces. A file is one task of at most FILE_GROUPS groups.
     """
-    settings = json.loads(spark.read.text(f"{path}/table").first()["value"])
-    freq = np.array(settings["freq"], np.int64)
-    if settings["check"] != zlib.crc32(freq.astype("<i8").tobytes()) or (settings["lanes"], settings["checkpoint"]) != (LANES, CHECKPOINT):
-        raise ValueError("the store's table is damaged or of another make")
-    table = spark.sparkContext.broadcast((freq, settings["bits"]))
     names = ["range", "number", "key", "first", "n_all", "done", "n", "crc", "ids"]
 
     def rows_of(blocks: list[Block], coder: Coder, lookup: np.ndarray):
@@ -375,20 +366,19 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def decode(batches):
-        coder = Coder.of(*table.value)
-        lookup = coder.ids_of()
         for batch in batches:
             for content in batch.column(0):
-                held: list[Block] = []
-                for block in unpacked_blocks(memoryview(content.as_buffer())):
-                    held.append(block)
-                    if sum(b.n for b in held) >= TOGETHER // 4:
+                for coder, blocks in unpacked_groups(memoryview(content.as_buffer())):
+                    lookup, held = coder.ids_of(), []
+                    for block in blocks:
+                        held.append(block)
+                        if len(held) == DECODED_BLOCKS:
+                            yield rows_of(held, coder, lookup)
+                            held = []
+                    if held:
                         yield rows_of(held, coder, lookup)
-                        held = []
-                if held:
-                    yield rows_of(held, coder, lookup)
 
-    files = spark.read.format("binaryFile").load(f"{path}/parts").filter("length > 0").select("content")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("content")
     ddl = "range int, number long, key string, first long, n_all long, done long, n long, crc long, ids binary"
     pieces = materialized(files.mapInArrow(decode, ddl), "decoded")
     one = pieces.filter("n = n_all").drop("done", "n")

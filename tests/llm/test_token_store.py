@@ -38,7 +38,7 @@ def test_blocks_come_back_from_any_checkpoint(sizes):
     blocks = np.split(ids, np.cumsum(sizes)[:-1])
     directory = lambda b, k: [(k, len(b), 0, len(b), None if k % 2 else f"key {k}".encode())]
     stored = list(T.packed_blocks(coder, 3, 10, 77, [(b, directory(b, k)) for k, b in enumerate(blocks)]))
-    content = b"".join(x + T.LINE_END for x in stored)
+    content = b"".join(stored)
     read = list(T.unpacked_blocks(memoryview(content)))
     lookup, place = coder.ids_of(), 77
     for k, (block, want) in enumerate(zip(read, blocks, strict=True)):
@@ -58,6 +58,20 @@ def test_blocks_come_back_from_any_checkpoint(sizes):
         list(T.unpacked_blocks(memoryview(bytes(damaged))))
 
 
+def test_groups_bring_their_tables():
+    ids = [zipf_ids(70_000, seed, 60_000 if seed else 9) for seed in (0, 1)]
+    content = b""
+    for k, own in enumerate(ids):
+        blocks = [(own[:65536], [(0, len(own), 0, 65536, b"a")]), (own[65536:], [(0, len(own), 65536, len(own) - 65536, b"a")])]
+        content += T.packed_group(k, 0, 0, blocks) + T.LINE_END
+    for (coder, blocks), own in zip(T.unpacked_groups(memoryview(content)), ids, strict=True):
+        assert (np.concatenate([x for b in blocks for x in coder.decode(b.stretches, coder.ids_of())]) == own).all()
+    damaged = bytearray(content)
+    damaged[T.GROUP_HEAD.size + 3] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        list(T.unpacked_groups(memoryview(bytes(damaged))))
+
+
 def test_checksums_of_pieces():
     text = bytes(range(200)) * 3
     for cut in (0, 1, 17, 599):
@@ -82,19 +96,19 @@ def test_query_against_the_tokenizer(spark, tokenizer):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_odd_rows(spark, tokenizer, tmp_path, monkeypatch, small):
-    if small:  # documents span blocks and files; the settings travel to the workers with the functions
-        monkeypatch.setattr(T, "FILE_BLOCKS", 2)
+    if small:  # documents span blocks, groups and files
+        monkeypatch.setattr(T, "FILE_GROUPS", 1)
     rows = [(5, None), (3, ""), (None, "no key"), (-7, "minus <|endoftext|> \x1c É é"), (9, "word and more " * 70_000), (12, "tail"), (10, " \n ")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(3)
     path = str(tmp_path / "store")
-    T.write_tokens(df, "doc_id", "text", vocabulary_path(), path, 2)
+    T.write_tokens(df, "doc_id", "text", vocabulary_path(), path, 2, **({"group_blocks": 1} if small else {}))
     read = T.read_tokens(spark, path, with_ids=True).selectExpr("cast(key AS long)", "start", "n_tokens", "ids_crc32", "ids").collect()
     got = sorted((tuple(r)[:4] for r in read), key=lambda r: r[1])
     assert got == answer(rows, tokenizer)
     for r in read:
         assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_tokens"]
     if small:
-        assert len(list((tmp_path / "store" / "parts").glob("part-*"))) > 4
+        assert len(list((tmp_path / "store").glob("part-*"))) > 4
     empty = str(tmp_path / "empty")
     T.write_tokens(df.filter("false"), "doc_id", "text", vocabulary_path(), empty, 2)
     assert T.read_tokens(spark, empty).count() == 0
