@@ -1,4 +1,8 @@
-"""Regressors, grid search and leaderboard on pyspark.ml."""
+"""Regressors, grid search and leaderboard.
+
+Linear models are solved from moments (``linear``); forests and boosted trees grow on a grid of bins (``grid_trees``), or with more features than
+such a grid can hold, by pyspark.ml.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,13 @@ from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from sedge.operators import grid_trees, linear
 from sedge.operators.diagnostics import regression_metrics
 from sedge.operators.splitting import row_hash
 
@@ -43,43 +48,43 @@ def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
 
 
 def _estimator(name: str, seed: int):
-    common = {"featuresCol": "_x", "labelCol": "_label"}
-    if name in ("linreg", "enet"):
-        return LinearRegression(**common, standardization=False, maxIter=1000, tol=1e-8)
-    if name == "rf":
-        return RandomForestRegressor(**common, featureSubsetStrategy="all", seed=seed)
-    return GBTRegressor(**common, seed=seed, featureSubsetStrategy="all")
-
+    """The pyspark.ml regressor of a name, for grids that bins cannot hold."""
+    common = {"featuresCol": "_x", "labelCol": "_label", "featureSubsetStrategy": "all", "seed": seed}
+    return RandomForestRegressor(**common) if name == "rf" else GBTRegressor(**common)
 
-def _param_map(name: str, model, point: Mapping, label_std: float) -> dict:
-    """Grid point -> Spark parameters.
 
-    The elastic net is fitted on a label of unit deviation, so its absolute
-    penalty shrinks by that deviation while its squared one stays.
-    """
-    if name == "enet":
-        absolute = point["alpha"] * point["l1_ratio"] / label_std
-        squared = point["alpha"] * (1 - point["l1_ratio"])
-        return {model.regParam: absolute + squared, model.elasticNetParam: absolute / (absolute + squared)}
+def _param_map(name: str, model, point: Mapping) -> dict:
+    """Grid point -> Spark parameters."""
     if name == "rf":
         return {
             model.numTrees: point["n_estimators"],
             model.maxDepth: point["max_depth"] or DEEPEST_TREE,
             model.minInstancesPerNode: max(1, point["min_samples_split"] // 2),
         }
-    if name == "gbr":
-        return {
-            model.maxIter: point["n_estimators"],
-            model.stepSize: point["learning_rate"],
-            model.maxDepth: point["max_depth"],
-        }
-    return {}
-
-
-def _inputs(features: Sequence[str], scaled: bool) -> list:
-    raw = VectorAssembler(inputCols=list(features), outputCol="_raw" if scaled else "_x")
-    scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)
-    return [raw, scale] if scaled else [raw]
+    return {
+        model.maxIter: point["n_estimators"],
+        model.stepSize: point["learning_rate"],
+        model.maxDepth: point["max_depth"],
+    }
+
+
+def _ml_search(train: DataFrame, name: str, features: Sequence[str], target: str, points: list[dict], folds: int, seed: int, parallelism: int):
+    """Best point and its model by pyspark.ml's cross-validation."""
+    model = _estimator(name, seed)
+    prepared = train.withColumn("_label", F.col(f"`{target}`"))
+    stages = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), model])
+    maps = [_param_map(name, model, p) for p in points]
+    best, at = None, 0
+    if len(maps) == 1:
+        best = stages.fit(prepared, maps[0])
+    else:
+        search = CrossValidator(
+            estimator=stages, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
+            evaluator=RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="rmse"),
+        ).fit(prepared)
+        best, at = search.bestModel, min(range(len(maps)), key=lambda i: search.avgMetrics[i])
+    named = SQLTransformer(statement="SELECT *, prediction AS y_pred FROM __THIS__")
+    return points[at], PipelineModel(stages=[*best.stages, named])
 
 
 @dataclass
@@ -111,7 +116,7 @@ def train_models(
     """Fit every enabled model on the train rows, by grid search where it has a grid, and rank them.
 
     Folds are a hash of the row id, so a rerun sees the same ones. Models rank by
-    validation RMSE, then by validation R2.
+    validation RMSE, then by validation R2. A grid's error is the mean over the folds of the held-out RMSE.
     """
     chosen = select_models(enabled)
     if grids is not None:
@@ -119,11 +124,34 @@ def train_models(
     points = {n: grid_points(g) if g else [{}] for n, g in chosen.items()}
     rows = df.select(*id_columns, *[F.col(f"`{c}`") for c in [*features, target, split] if c not in id_columns])
     fold = F.pmod(row_hash(id_columns, seed + 1), F.lit(folds)).cast("int")
-    searched = any(len(p) > 1 for p in points.values())
-    cached = (rows.withColumn("_fold", fold) if searched else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    row = row_hash(id_columns, seed + 2)
+    cached = rows.withColumns({"_fold": fold, "_row": row}).persist(StorageLevel.MEMORY_AND_DISK)
     train = cached.where(F.col(split) == "train")
-    spread = (train.agg(F.stddev_samp(F.col(f"`{target}`"))).first()[0] or 1.0) if "enet" in chosen else 1.0
-    evaluator = RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="rmse")
+    columns = [*features, target]
+    by_fold: dict = {}
+    grid = grid_trees.bins_of(train, features) if {"rf", "gbr"} & set(chosen) else None
+    sums = grid_trees.cell_sums(train, grid, target, "_fold") if grid else None
+
+    def fitted(name: str) -> tuple[dict, PipelineModel]:
+        """The grid point with the smallest held-out error, the first of equals, fitted on all train rows."""
+        if name in ("linreg", "enet"):
+            if not by_fold:
+                by_fold.update(linear.moments(train, columns, "_fold"))
+            if name == "linreg":
+                best, line = {}, linear.least_squares(linear.merged(by_fold.values(), len(columns)))
+            else:
+                errors, every = linear.search(by_fold, points[name]) if len(points[name]) > 1 else ([0.0], linear.merged(by_fold.values(), len(columns)))
+                best = points[name][errors.index(min(errors))]
+                line = linear.elastic_net(every, **best)
+            return best, PipelineModel(stages=[line.stage(features)])
+        if sums is None:
+            return _ml_search(train, name, features, target, points[name], folds, seed, parallelism)
+        if name == "rf":
+            errors, _, tables = grid_trees.search_forest(train, sums, target, "_fold", "_row", chosen[name])
+        else:
+            errors, _, tables = grid_trees.search_boosting(df.sparkSession, sums, chosen[name])
+        at = errors.index(min(errors))
+        return points[name][at], PipelineModel(stages=[grid_trees.GridModel(grid, tables[at])])
 
     def predictions(of: DataFrame, names: Sequence[str]) -> DataFrame:
         parts = [
@@ -139,22 +167,7 @@ def train_models(
     try:
         for name in chosen:
             began = time.time()
-            unit = spread if name == "enet" else 1.0
-            prepared = train.withColumn("_label", F.col(f"`{target}`") / F.lit(float(unit)))
-            model = _estimator(name, seed)
-            stages = Pipeline(stages=[*_inputs(features, name in ("linreg", "enet")), model])
-            maps = [_param_map(name, model, p, unit) for p in points[name]]
-            if len(maps) == 1:
-                best, params = stages.fit(prepared, maps[0]), points[name][0]
-            else:
-                search = CrossValidator(
-                    estimator=stages, estimatorParamMaps=maps, evaluator=evaluator,
-                    numFolds=folds, foldCol="_fold", parallelism=parallelism,
-                ).fit(prepared)
-                best = search.bestModel
-                params = points[name][min(range(len(maps)), key=lambda i: search.avgMetrics[i])]
-            to_units = SQLTransformer(statement=f"SELECT *, prediction * {float(unit)!r}D AS y_pred FROM __THIS__")
-            models[name] = PipelineModel(stages=[*best.stages, to_units])
+            params, models[name] = fitted(name)
             facts.append((name, round(time.time() - began, 2), json.dumps(params)))
 
         metrics = regression_metrics(predictions(cached, list(models)), "y_true", "y_pred", ["model", "split"])

@@ -33,7 +33,7 @@ docs AS (
          split_part(text, chr(10), 1) AS title, text AS summary, lang, source FROM documents)
 """
 STOP = "[" + ", ".join(f"'{w}'" for w in TERM_STOPWORDS) + "]"
-TERMS = f"""{DOCS},
+LISTED = f"""{DOCS},
 worded AS (
   SELECT id, kind, list_filter(list_transform(string_split(regexp_replace(lower(title || ' ' || summary), '[^a-zà-ÿ0-9-]+', ' ', 'g'), ' '),
     lambda w: trim(w, '-')), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')) AS words FROM docs),
@@ -42,8 +42,10 @@ listed AS (
   SELECT id, kind, list_distinct(list_filter(k, lambda w: w IS NOT NULL) ||
     list_filter(list_transform(range(1, greatest(len(k), 1)), lambda i: k[i] || ' ' || k[i + 1]), lambda w: w IS NOT NULL)) AS terms
   FROM kept),
-freq AS MATERIALIZED (SELECT kind, term, count(*) AS df FROM (SELECT kind, unnest(terms) AS term FROM listed) GROUP BY ALL),
-floor AS (SELECT CASE WHEN count(*) > 12 THEN 2 ELSE 1 END AS least_df FROM docs)
+floor AS (SELECT CASE WHEN count(*) > 12 THEN 2 ELSE 1 END AS least_df FROM documents)
+"""
+TERMS = f"""{LISTED},
+freq AS MATERIALIZED (SELECT kind, term, count(*) AS df FROM (SELECT kind, unnest(terms) AS term FROM listed) GROUP BY ALL)
 """
 
 
@@ -79,11 +81,12 @@ ASKED = ["  Eronst", "ing", "the", "ine thea", "SOIL"]
 
 
 @registry.query(
-    f"""WITH {TERMS},
-sizes AS (SELECT count(*) FILTER (kind = 'policy') AS np, count(*) FILTER (kind = 'grant') AS ng FROM docs),
+    f"""WITH {LISTED},
+sizes AS (
+  SELECT count(*) FILTER (even) AS np, count(*) FILTER (NOT even) AS ng FROM (SELECT substr(source, 4)::INTEGER % 2 = 0 AS even FROM documents)),
 shared AS MATERIALIZED (
-  SELECT term, sum(df) FILTER (kind = 'policy')::BIGINT AS df_policy, sum(df) FILTER (kind = 'grant')::BIGINT AS df_grant
-  FROM freq GROUP BY term HAVING count(DISTINCT kind) = 2),
+  SELECT term, sum(policy)::BIGINT AS df_policy, (count(*) - sum(policy))::BIGINT AS df_grant
+  FROM (SELECT (kind = 'policy')::INTEGER AS policy, unnest(terms) AS term FROM listed) GROUP BY term HAVING max(policy) > min(policy)),
 common AS MATERIALIZED (
   SELECT shared.*, least(df_policy / np, df_grant / ng) AS score FROM shared, sizes, floor
   WHERE df_policy >= least_df AND df_grant >= least_df),
@@ -128,7 +131,7 @@ grams AS (
   SELECT doc_id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM worded),
 counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 kept AS (
-  SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 20000),
+  SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2),
 raw AS (
   SELECT doc_id, term, tf, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS r FROM counts JOIN kept USING (term)),
 weights AS (SELECT doc_id, term, tf, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS weight FROM raw)

@@ -10,7 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = queries(), oracle_sql()
 # Fits of many models: covered on small tables in test_learning.py.
-LONG = {"regression_linear", "regression_trees", "text_coder_cv", "coder_predictions"}
+LONG = {"text_coder_cv", "coder_predictions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
