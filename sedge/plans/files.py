@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sedge.functions.columns import resolve_roles, scenario_variables
 from sedge.operators.cleaning import numeric_columns
 from sedge.operators.splitting import hash_split
 from sedge.plans import documents as finder_plans
@@ -135,10 +136,8 @@ def record_files(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.record_files(records(spark, sf))
 
 
-@registry.query(
-    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_orderkey::VARCHAR END AS record FROM orders"""
-)
-def record_ids(spark: SparkSession, sf: str) -> DataFrame:
+def references(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with a reference in one of the forms in which records are cited; one in five names none."""
     k = F.col("o_orderkey")
     form = (
         F.when(k % 5 == 0, F.concat(F.lit(" 10.5281/zenodo."), k))
@@ -147,4 +146,87 @@ def record_ids(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 5 == 3, F.concat(F.lit("https://archive.org/record/"), k))
         .otherwise(F.concat(F.lit("not-a-doi "), k))
     )
-    return table(spark, sf, "orders").select(k, provenance.record_id(form).alias("record"))
+    return table(spark, sf, "orders").select(k, form.alias("reference"))
+
+
+@registry.query(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_orderkey::VARCHAR END AS record FROM orders"""
+)
+def record_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return references(spark, sf).select("o_orderkey", provenance.record_id("reference").alias("record"))
+
+
+@registry.query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no reference' ELSE 'no record number in: not-a-doi ' || o_orderkey END AS reason
+FROM orders WHERE o_orderkey % 5 = 4 OR o_orderkey % 7 = 0"""
+)
+def record_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The same references, every seventh of them blank: the rows that no record can be found for."""
+    blank = F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.col("reference"))
+    return provenance.record_rejects(references(spark, sf).withColumn("reference", blank), "reference").select("o_orderkey", "reason")
+
+
+def sensor_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items under the headers of a raw sensor file."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") * 60).alias("Time (min)"),
+        F.col("l_extendedprice").alias("Temperature (°C)"), F.col("l_quantity").alias("RPM"), F.col("l_tax").alias("Pressure (bar)"),
+    )
+
+
+@registry.query(
+    """SELECT l_orderkey AS "order", l_linenumber AS line, 'Temperature (°C), RPM' AS features, (l_linenumber * 60)::INTEGER AS clock, l_extendedprice AS first_feature,
+  l_quantity AS second_feature, l_tax AS target FROM lineitem"""
+)
+def role_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature, target and clock columns of a raw table, asked for by their configured names."""
+    raw = sensor_headers(spark, sf)
+    features, target, clock = resolve_roles(raw.columns, ["time", "temperature", "stirring"], "pressure")
+    at = [F.col(f"`{f}`") for f in features]
+    return raw.select(
+        "order", "line", F.lit(", ".join(features)).alias("features"), F.col(f"`{clock}`").alias("clock"),
+        at[0].alias("first_feature"), at[1].alias("second_feature"), F.col(f"`{target}`").alias("target"),
+    )
+
+
+@registry.query(
+    """SELECT 'Time (min)' AS variable, count(*) AS n, min(l_linenumber * 60)::DOUBLE AS low, max(l_linenumber * 60)::DOUBLE AS high FROM lineitem
+UNION ALL SELECT 'Temperature (°C)', count(*), min(l_extendedprice), max(l_extendedprice) FROM lineitem
+UNION ALL SELECT 'RPM', count(*), min(l_quantity), max(l_quantity) FROM lineitem"""
+)
+def sweep_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """The variables that a sweep finds in a raw table, with their bounds."""
+    raw = sensor_headers(spark, sf)
+    found = scenario_variables(raw.columns)
+    values = raw.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in found]).unpivot([], [f"`{c}`" for c in found], "variable", "value")
+    bounds = values.groupBy(F.replace("variable", F.lit("`"), F.lit("")).alias("variable"))
+    return bounds.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@registry.query(
+    """SELECT k AS keyword, count(*) AS n FROM part, (SELECT DISTINCT split_part(p_name, ' ', 1) AS k FROM part) WHERE contains(lower(p_name), lower(k)) GROUP BY 1"""
+)
+def keyword_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords written as a JSON config (the first words of part names), read back, and the parts that hold each."""
+    parts, path = table(spark, sf, "part"), scratch_path(spark, "keywords")
+    words = parts.select(F.substring_index("p_name", " ", 1).alias("k")).distinct()
+    words.agg(F.array_sort(F.collect_set("k")).alias("keywords")).coalesce(1).write.json(path)
+    wanted = F.array(*[F.lit(k) for k in tables.read_keywords(spark, path)])
+    held = F.filter(wanted, lambda k: F.contains(F.lower("p_name"), F.lower(k)))
+    return parts.select(F.explode(held).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+@registry.query(
+    f"""WITH rows AS (SELECT * FROM orders WHERE {split_sql('o_orderkey')} = 'validation')
+SELECT 'o_custkey' AS name, count(*) AS n, sum(o_custkey)::DOUBLE AS total FROM rows
+UNION ALL SELECT 'o_orderkey', count(*), sum(o_orderkey)::DOUBLE FROM rows
+UNION ALL SELECT 'o_totalprice', count(*), round(sum(o_totalprice), 2)::DOUBLE FROM rows"""
+)
+def legacy_split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A validation split as X and y files in a folder of the older name, found under the newer one."""
+    folder = scratch_path(spark, "legacy")
+    rows = hash_split(table(spark, sf, "orders"), ["o_orderkey"]).where("split = 'validation'")
+    tables.write_split_files(rows, ["o_orderkey", "o_custkey"], "o_totalprice", folder, "Val")
+    x, y = tables.read_split_files(spark, folder, "Validation")
+    total = lambda df, c: df.agg(F.lit(c).alias("name"), F.count("*").alias("n"), F.round(F.sum(c), 2).alias("total"))
+    return total(x, "o_custkey").unionByName(total(x, "o_orderkey")).unionByName(total(y, "o_totalprice"))

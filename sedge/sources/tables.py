@@ -75,6 +75,20 @@ def _numbers(df: DataFrame) -> DataFrame:
     return df.select(*[to_number(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def write_split_files(df: DataFrame, features: Sequence[str], target: str, folder: str, name: str) -> dict[str, str]:
+    """X and y of a split as CSV, in the layout that ``read_split_files`` reads; returns their paths.
+
+    Both are written from one table, row by row in the same order.
+    """
+    short = {"Validation": "val", "Val": "val"}.get(name, name.lower())
+    written = {}
+    for kind, columns in (("X", list(features)), ("y", [target])):
+        path = f"{folder.rstrip('/')}/{name}/{kind}_{short}.csv"
+        df.select(*[F.col(f"`{c}`") for c in columns]).write.mode("overwrite").csv(path, header=True)
+        written[f"{kind}_{short}"] = path
+    return written
+
+
 def read_split_files(
     spark: SparkSession,
     folder: str,

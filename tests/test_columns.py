@@ -28,6 +28,9 @@ def test_roles_split_off_the_clock():
                                   ["time", "temperature", "stirring"], "pressure")
     assert found == (["Temperature (°C)", "Stiring"], "Pressure (bar)", "Time (min)")
     assert columns.resolve_roles(["time_s", "y"], ["time"], "y") == (["time_s"], "y", None)
+    both = ["Time", "time_s", "y"]
+    assert columns.resolve_roles(both, ["Time", "time_s"], "y") == (["time_s"], "y", None)
+    assert columns.resolve_roles(both, ["time_s", "Time"], "y") == (["time_s"], "y", "Time")
     with pytest.raises(ValueError):
         columns.resolve_roles(["a"], ["humidity"], "a")
 
