@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedge.operators import coder, regress
+from sedge.functions.lexicon import TERM_STOPWORDS
+from sedge.operators import coder, regress, text_models
 from sedge.operators.splitting import hash_split
+from sedge.plans.documents import STOP
 from sedge.plans.registry import Registry, table
 from sedge.plans.sensor import split_sql
 from sedge.session import scratch_path
@@ -229,6 +231,65 @@ def coder_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return coder.confusion(rule_predictions(spark, sf))
 
 
+BAYES = f"""{LABELS},
+ranked AS (
+  SELECT doc_id, task, label, row_number() OVER (PARTITION BY task, label ORDER BY substr(md5('42:' || doc_id), 1, 13), doc_id) - 1 AS rank
+  FROM labeled WHERE label IS NOT NULL),
+per_class AS (SELECT task, label, count(*) AS n FROM ranked GROUP BY ALL),
+folds AS (SELECT task, least(5, min(n)) AS folds FROM per_class GROUP BY task HAVING count(*) > 1 AND min(n) > 1),
+dealt AS MATERIALIZED (SELECT doc_id, task, label, (rank % folds)::INTEGER AS fold FROM ranked JOIN folds USING (task)),
+worded AS (
+  SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({STOP}, w)) AS w
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM dealt)),
+counts AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM worded) GROUP BY ALL),
+by_fold AS MATERIALIZED (SELECT task, fold, term, count(*) AS df, sum(tf) AS tf FROM counts JOIN dealt USING (doc_id) GROUP BY ALL),
+whole AS (SELECT task, term, sum(df) AS df, sum(tf) AS tf FROM by_fold GROUP BY ALL HAVING sum(df) >= 2),
+sets AS MATERIALIZED (SELECT d.task, s.fold, count(*) AS n FROM dealt d JOIN (SELECT DISTINCT task, fold FROM dealt) s ON s.task = d.task AND s.fold <> d.fold GROUP BY ALL),
+kept AS MATERIALIZED (
+  SELECT task, fold, term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
+    SELECT s.task, s.fold, n, w.term, w.df - coalesce(b.df, 0) AS df, w.tf - coalesce(b.tf, 0) AS tf
+    FROM whole w JOIN sets s USING (task) LEFT JOIN by_fold b ON b.task = s.task AND b.fold = s.fold AND b.term = w.term)
+  WHERE df >= 2 QUALIFY row_number() OVER (PARTITION BY task, fold ORDER BY tf DESC, term) <= 20000),
+raw AS (
+  SELECT k.task, k.fold AS set, d.doc_id, d.label, d.fold, term, (1 + ln(tf)) * idf AS r
+  FROM counts JOIN dealt d USING (doc_id) JOIN kept k USING (task, term)),
+weights AS MATERIALIZED (SELECT * EXCLUDE (r), r / sqrt(sum(r * r) OVER (PARTITION BY task, set, doc_id)) AS x FROM raw),
+sums AS (SELECT task, set, label, term, sum(x) AS s FROM weights WHERE fold <> set GROUP BY ALL),
+size AS (SELECT task, fold AS set, count(*) AS v FROM kept GROUP BY ALL),
+share AS (SELECT d.task, s.fold AS set, d.label, count(*) / max(s.n) AS share FROM dealt d JOIN sets s ON s.task = d.task AND s.fold <> d.fold GROUP BY ALL),
+totals AS MATERIALIZED (
+  SELECT h.task, h.set, h.label, ln(share) AS prior, coalesce(sum(s), 0) + max(v) AS total
+  FROM share h JOIN size z ON z.task = h.task AND z.set = h.set LEFT JOIN sums s ON s.task = h.task AND s.set = h.set AND s.label = h.label GROUP BY h.task, h.set, h.label, share),
+evidence AS (
+  SELECT w.task, w.doc_id, t.label AS class, sum(x * ln((coalesce(s, 0) + 1) / total)) AS e
+  FROM weights w JOIN totals t ON t.task = w.task AND t.set = w.set
+    LEFT JOIN sums s ON s.task = w.task AND s.set = w.set AND s.label = t.label AND s.term = w.term
+  WHERE w.fold = w.set GROUP BY ALL)
+"""
+
+
+@registry.query(
+    f"""WITH {BAYES} SELECT d.task, 'nb' AS model, d.fold, d.doc_id, d.label, t.label AS predicted
+FROM dealt d JOIN totals t ON t.task = d.task AND t.set = d.fold LEFT JOIN evidence e ON e.task = d.task AND e.doc_id = d.doc_id AND e.class = t.label
+QUALIFY row_number() OVER (PARTITION BY d.task, d.doc_id ORDER BY prior + coalesce(e, 0) DESC, t.label) = 1"""
+)
+def bayes_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold predictions of naive Bayes over whole texts, all tasks and folds from one table of counts."""
+    rows, texts = labeled_documents(spark, sf), table(spark, sf, "documents").select("doc_id", "text")
+    design = text_models.build(texts, rows.select("doc_id", "task", "label"), "doc_id", stopwords=TERM_STOPWORDS)
+    return text_models.cross_validated(design, "doc_id", ["nb"])
+
+
+@registry.query()
+def linear_coders(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of both linear models for all tasks, five folds, whole texts."""
+    rows, texts = labeled_documents(spark, sf), table(spark, sf, "documents").select("doc_id", "text")
+    design = text_models.build(texts, rows.select("doc_id", "task", "label"), "doc_id")
+    return _rounded_summary(coder.cv_summary(coder.fold_scores(text_models.cross_validated(design, "doc_id", text_models.LINEAR))))
+
+
 @registry.query()
 def text_coder_cv(spark: SparkSession, sf: str) -> DataFrame:
     rows = labeled_documents(spark, sf).where("task = 'quality'")
