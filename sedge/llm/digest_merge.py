@@ -1,9 +1,9 @@
 """Exact duplicates by merging sorted runs of text digests in rounds.
 
-Each partition of the table is a run: its distinct digests with the identifier to
-keep and a count. In every round, ``fan_in`` neighbouring runs become one by merging
-on the digest, so after log(runs) rounds one run is left. A text that a third of the rows
-hold enters a round at most once per run, however many rows share it.
+Each partition of the table is a run: its distinct digests in order, with the identifier to
+keep and a count. In every round ``fan_in`` neighbouring runs become one: they exchange their stretches of the digests' order, so that a
+task holds the same stretch of all of them, sorted, and one walk over it merges equal digests. After log(runs) rounds one run is left, which stays
+spread over the stretches. A text that a third of the rows hold enters a round at most once per run, however many rows share it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from sedge.llm.scratch import materialized
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What makes two texts the same: the digest, checked by length and a second, independent hash.
 PROOF = ["digest", "length", "check"]
+# A stretch of the digests' order are those that begin with the same hexadecimal digits: 4,096 stretches.
+STRETCH_DIGITS = 3
 
 
 def folded(text: str | Column) -> Column:
@@ -43,15 +45,16 @@ def merge_runs(runs: DataFrame, fan_in: int = 16, keep: str = "max") -> DataFram
     ``keep`` is ``"max"`` or ``"min"``: which identifier stays, decided anew at every level.
     Null identifiers lose against any other; if all are null, ``keep`` is null.
     """
-    best = {"max": F.max, "min": F.min}[keep]
-    level = runs.groupBy("run", *PROOF).agg(best("key").alias("keep"), F.count("*").alias("n"))
+    best, order = {"max": F.max, "min": F.min}[keep], ["run", "stretch", *PROOF]
+    # A boxed identifier is merged in sorted order; without an identifier there is no box.
+    boxed = F.when(F.col("key").isNotNull(), F.struct("key"))
+    level = runs.withColumn("stretch", F.substring(F.hex("digest"), 1, STRETCH_DIGITS)).groupBy(*order).agg(best(boxed).alias("keep"), F.count("*").alias("n"))
     left = runs.agg(F.max("run")).first()[0]
     while left:
-        level = (
-            level.groupBy(F.expr(f"run div {fan_in}").alias("run"), *PROOF)
-            .agg(best("keep").alias("keep"), F.sum("n").alias("n"))
-        )
+        met = level.withColumn("run", F.expr(f"run div {fan_in}")).repartition("run", "stretch").sortWithinPartitions(*order)
+        level = met.groupBy(*order).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
         left //= fan_in
+    level = level.select(*PROOF, F.col("keep.key").alias("keep"), "n").withColumn("run", F.lit(0))
     return level.drop("run")
 
 
