@@ -201,3 +201,26 @@ def test_policies_keep_one_row_per_id(spark):
     docs = spark.createDataFrame(rows, f"_landed int, {finder.DOCUMENT}")
     hits = finder.search_policies(docs, ["soil"], order=["_landed"]).collect()
     assert [(r["id"], r["title"]) for r in hits] == [("p:3X", "second soil")]
+
+
+def physical(df):
+    """The physical plan as text, none of it cut off."""
+    spark = df.sparkSession
+    kept = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", kept)
+
+
+def test_texts_are_split_once(spark):
+    """No filter that Spark adds for a list repeats the regex that made it; lists need no shuffle."""
+    from sedge.operators import terms as operators
+    from sedge.plans import documents as plans
+
+    folder = "/root/testdata/sf0.001"
+    docs = plans.documents(spark, folder)
+    for df in (operators.document_terms(docs), operators.term_frequencies(docs), plans.doc_terms(spark, folder)):
+        assert physical(df).count("regexp_extract_all(") == 1
+    assert physical(plans.doc_terms(spark, folder)).count("Exchange") == physical(docs).count("Exchange")
