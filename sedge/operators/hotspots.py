@@ -17,7 +17,8 @@ PAIRS_PER_TASK = 4_000_000
 def code_frequencies(codes: DataFrame, dimension: str | None = None, top: int | None = None) -> DataFrame:
     """Papers per ``(dimension, code)``, most frequent first, ties by code."""
     rows = codes if dimension is None else codes.where(F.col("dimension") == dimension)
-    counted = rows.groupBy("dimension", "code").agg(F.count_distinct("paper_id").alias("papers"))
+    known = F.count_if(F.col("paper_id").isNotNull()).alias("papers")
+    counted = _distinct(rows).groupBy("dimension", "code").agg(known)
     ranking = [F.desc("papers"), F.asc("code")]
     if top is not None:
         rank = F.row_number().over(Window.partitionBy("dimension").orderBy(*ranking))
@@ -25,6 +26,16 @@ def code_frequencies(codes: DataFrame, dimension: str | None = None, top: int |
     return counted.orderBy("dimension", *ranking)
 
 
+def _distinct(codes: DataFrame) -> DataFrame:
+    """Distinct ``(paper_id, dimension, code)``.
+
+    Rows are dealt out by all three before they are compared: papers seldom repeat within a task, so tables made ahead of the
+    shuffle would hold nearly every row of a task and save nothing.
+    """
+    names = ["paper_id", "dimension", "code"]
+    return codes.select(*names).repartition(*names).distinct()
+
+
 def code_by_sector(
     codes: DataFrame,
     papers: DataFrame,

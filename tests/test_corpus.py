@@ -180,3 +180,13 @@ def test_targets(spark):
     assert of("sector") == ["agri", "mining", "mining", "agri", None, None]
     assert of("region") == ["eu", "eu", "out", "out", None, None]
     assert of("relevance") == ["high", "high", "medium_low", "medium_low", "high", None]
+
+
+def test_papers_are_dealt_out_before_they_are_compared(spark):
+    from sedge.operators import hotspots
+
+    codes = spark.createDataFrame([(1, "d", "a"), (1, "d", "a"), (2, "d", "a"), (None, "d", "b"), (3, "e", "a")], "paper_id long, dimension string, code string")
+    found = hotspots.code_frequencies(codes)
+    assert [tuple(r) for r in found.collect()] == [("d", "a", 2), ("d", "b", 0), ("e", "a", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "distinct" not in plan.split("Aggregate")[1]
