@@ -90,19 +90,24 @@ TABLE_FILES = ", ".join(
 FROM (VALUES {TABLE_FILES}) AS t(key)"""
 )
 def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
-    """The table files against a manifest with right, wrong, absent and unknown checksums and a missing file."""
+    """The table files against a manifest with right, wrong, absent and unknown checksums and a missing file.
+
+    A table may be one file or a folder of part files: it is found, and right, when all its files are.
+    """
     files = provenance.fingerprints(spark, sf, "*.parquet")
+    of = F.substring_index("key", "/", 1)
     checksum = (
-        F.when(F.col("key") == "orders.parquet", F.concat(F.lit("md5:"), F.lpad(F.lit("0"), 32, "0")))
-        .when(F.col("key") == "part.parquet", "")
-        .when(F.col("key") == "nation.parquet", "sha256:abc")
+        F.when(of == "orders.parquet", F.concat(F.lit("md5:"), F.lpad(F.lit("0"), 32, "0")))
+        .when(of == "part.parquet", "")
+        .when(of == "nation.parquet", "sha256:abc")
         .otherwise(F.concat(F.lit("md5:"), F.upper("md5")))
     )
     listed = files.select("key", F.col("length").alias("size"), checksum.alias("checksum"))
-    gone = files.where("key = 'region.parquet'").select(
+    gone = files.where(of == "region.parquet").select(
         F.lit("gone.parquet").alias("key"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("checksum")
-    )
-    return provenance.verify_manifest(listed.unionByName(gone), files).select("key", "found", "ok")
+    ).distinct()
+    checked = provenance.verify_manifest(listed.unionByName(gone), files)
+    return checked.groupBy(of.alias("key")).agg(F.bool_and("found").alias("found"), F.bool_and("ok").alias("ok"))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

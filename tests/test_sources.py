@@ -152,3 +152,19 @@ def test_watermark_dedupe_plans(spark, tmp_path):
     stream = landed_json(spark, str(tmp_path / "in"), "id string")
     out = deduplicated(stream, ["id"], "_landed", "1 day")
     assert out.isStreaming and out.columns == ["id", "_landed"]
+
+
+def test_tables_of_part_files_with_equal_names(spark, tmp_path):
+    from sedge.plans import files as plans
+    from sedge.sources import provenance
+
+    for n, table in enumerate(("region", "orders", "pages")):
+        folder = tmp_path / f"{table}.parquet"
+        folder.mkdir()
+        for part in range(2):
+            (folder / f"part-{part}.parquet").write_text(f"{n} {part}")
+    (tmp_path / "nation.parquet").write_text("one file")
+    keys = [r["key"] for r in provenance.fingerprints(spark, str(tmp_path), "*.parquet").collect()]
+    assert sorted(keys)[:3] == ["nation.parquet", "orders.parquet/part-0.parquet", "orders.parquet/part-1.parquet"] and len(set(keys)) == 7
+    got = sorted(tuple(r) for r in plans.manifest_check(spark, str(tmp_path)).collect())
+    assert got == [("gone.parquet", False, False), ("nation.parquet", True, True), ("orders.parquet", True, False), ("pages.parquet", True, True), ("region.parquet", True, True)]
