@@ -224,3 +224,10 @@ def test_texts_are_split_once(spark):
     for df in (operators.document_terms(docs), operators.term_frequencies(docs), plans.doc_terms(spark, folder)):
         assert physical(df).count("regexp_extract_all(") == 1
     assert physical(plans.doc_terms(spark, folder)).count("Exchange") == physical(docs).count("Exchange")
+
+
+def test_counted_texts_are_split_once(spark):
+    from sedge.operators import text_models
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert physical(text_models.term_counts(texts, "doc_id", "text", ["the"])).count("regexp_extract_all(") == 1
