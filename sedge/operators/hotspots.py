@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,6 +13,8 @@ from sedge.operators.ordering import join_keys
 from sedge.session import materialized
 
 PAIRS_PER_TASK = 4_000_000
+# Rows that one task compares or joins, so that its memory stays the same on larger tables.
+ROWS_PER_TASK = 1_000_000
 
 
 def code_frequencies(codes: DataFrame, dimension: str | None = None, top: int | None = None) -> DataFrame:
@@ -58,13 +61,27 @@ def code_by_sector(
     return cells.join(best, "code").select("code", "sector_tag", "papers", "total").orderBy(F.desc("total"), "code", "sector_tag")
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    """As many tasks as hold ``ROWS_PER_TASK`` each, at least the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_TASK))
+
+
 def _frequent(codes: DataFrame, dimensions: Sequence[str], min_count: int) -> DataFrame:
-    """Distinct ``(paper_id, dimension, code)`` of the codes that reach ``min_count`` papers."""
+    """Distinct ``(paper_id, dimension, code)`` of the codes that reach ``min_count`` papers.
+
+    Codes with more than a task's rows (so few that they can be sent along) are picked out where their rows are; only the others' rows
+    are shuffled by code.
+    """
     known = F.col("paper_id").isNotNull() & F.col("code").isNotNull()
-    chosen = codes.where(F.col("dimension").isin(*dimensions) & known)
-    assigned = chosen.select("paper_id", "dimension", "code").distinct()
-    kept = assigned.groupBy("dimension", "code").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_count)
-    return assigned.join(kept.select("dimension", "code"), ["dimension", "code"], "left_semi")
+    names, at = ["paper_id", "dimension", "code"], ["dimension", "code"]
+    chosen = codes.where(F.col("dimension").isin(*dimensions) & known).select(*names)
+    tasks = _tasks(codes, chosen.count())
+    assigned = materialized(chosen.repartition(tasks, *names).distinct(), "assigned-codes")
+    counted = materialized(assigned.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_count), "code-counts")
+    hot = F.broadcast(counted.where(F.col("_n") > ROWS_PER_TASK // 10).select(*at))
+    others = counted.where(F.col("_n") <= ROWS_PER_TASK // 10).select(*at).repartition(tasks, *at)
+    rest = assigned.join(hot, at, "left_anti").repartition(tasks, *at).join(others, at, "left_semi")
+    return assigned.join(hot, at, "left_semi").unionByName(rest.select(*names))
 
 
 def code_cooccurrence(
@@ -75,19 +92,23 @@ def code_cooccurrence(
     Rare codes go before the join, and what is left is written once, since both
     sides of the join read it. A paper whose codes make more than
     ``pairs_per_task`` pairs is spread over salted parts: its first side is dealt
-    out, its second side goes to every part, and each pair still meets once.
+    out, its second side goes to every part, and each pair still meets once. Tasks
+    are as many as the rows and pairs call for.
     """
     frequent = materialized(_frequent(codes, [dim_a, dim_b], min_count), "frequent-codes")
     side = lambda dim, name: frequent.where(F.col("dimension") == dim).select("paper_id", F.col("code").alias(name))
     a, b = side(dim_a, "code_a"), side(dim_b, "code_b")
     of = lambda dim: F.count_if(F.col("dimension") == dim)
-    sizes = frequent.groupBy("paper_id").agg((of(dim_a) * of(dim_b)).alias("_pairs"))
-    spread = sizes.where("_pairs > 0").select(
-        "paper_id", F.ceil(F.col("_pairs") / pairs_per_task).cast("int").alias("_parts")
-    )
-    dealt = a.join(spread, "paper_id").withColumn("_part", F.pmod(F.xxhash64("code_a"), "_parts").cast("int"))
-    copied = b.join(spread, "paper_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    met = dealt.drop("_parts").join(copied.drop("_parts"), ["paper_id", "_part"])
+    by_paper = frequent.repartition(_tasks(codes, frequent.count()), "paper_id")
+    sizes = by_paper.groupBy("paper_id").agg((of(dim_a) * of(dim_b)).alias("_pairs")).where("_pairs > 0")
+    sizes = materialized(sizes, "pair-counts")
+    # Papers that are spread hold thousands of codes each, so they are few beside the rows.
+    spread = F.broadcast(sizes.where(F.col("_pairs") > pairs_per_task).select("paper_id", F.ceil(F.col("_pairs") / pairs_per_task).cast("int").alias("_parts")))
+    parts, meet = F.coalesce("_parts", F.lit(1)), ["paper_id", "_part"]
+    dealt = a.join(spread, "paper_id", "left").select("paper_id", "code_a", F.pmod(F.xxhash64("code_a"), parts).cast("int").alias("_part"))
+    copied = b.join(spread, "paper_id", "left").select("paper_id", "code_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    tasks = _tasks(codes, sizes.agg(F.sum("_pairs")).first()[0] or 0)
+    met = dealt.repartition(tasks, *meet).join(copied.repartition(tasks, *meet), meet)
     return met.groupBy("code_a", "code_b").agg(F.count("*").alias("papers"))
 
 

@@ -1,5 +1,6 @@
 """Paper list, codebook, alignment and counts."""
 
+import math
 import random
 from collections import Counter
 
@@ -141,6 +142,18 @@ def test_cooccurrence_with_a_hot_paper_split_up(spark, rows):
     assert rows(got) == sorted(((x, y, n) for (x, y), n in want.items()), key=repr)
 
 
+def test_cooccurrence_tasks_grow_with_the_rows(spark, rows, monkeypatch):
+    """No task compares or joins more rows than stated, and codes with many papers are picked out without a shuffle by code."""
+    data = [(p, d, "x", f"{d[0]}{(p * k) % 7}") for p in range(60) for k in range(1, 4) for d in ("barriers", "drivers")]
+    df = spark.createDataFrame(data + data[:50], "paper_id long, dimension string, source string, code string")
+    want = rows(hotspots.code_cooccurrence(df, "barriers", "drivers", 5))
+    made, repartition = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by: made.append(n) or repartition(self, n, *by))
+    monkeypatch.setattr(hotspots, "ROWS_PER_TASK", 20)
+    assert rows(hotspots.code_cooccurrence(df, "barriers", "drivers", 5)) == want and want
+    assert made[0] == math.ceil((len(data) + 50) / 20) and min(made) >= 16
+
+
 def test_places(spark):
     assert [tuple(r) for r in hotspots.country_counts(papers(spark)).collect()] == [("Italy", 2), ("Germany", 1), ("Kenya", 1)]
     assert [tuple(r) for r in hotspots.geo_level_counts(papers(spark)).collect()] == [("National", 3), ("(unspecified)", 1), ("NUTS 2", 1)]
