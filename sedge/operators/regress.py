@@ -123,10 +123,12 @@ def train_models(
         chosen = {n: grids.get(n, g) for n, g in chosen.items()}
     points = {n: grid_points(g) if g else [{}] for n, g in chosen.items()}
     rows = df.select(*id_columns, *[F.col(f"`{c}`") for c in [*features, target, split] if c not in id_columns])
-    fold = F.pmod(row_hash(id_columns, seed + 1), F.lit(folds)).cast("int")
-    row = row_hash(id_columns, seed + 2)
-    cached = rows.withColumns({"_fold": fold, "_row": row}).persist(StorageLevel.MEMORY_AND_DISK)
-    train = cached.where(F.col(split) == "train")
+    in_train = F.col(split) == "train"
+    fold = F.when(in_train, F.pmod(row_hash(id_columns, seed + 1), F.lit(folds)).cast("int"))
+    row = F.when(in_train, row_hash(id_columns, seed + 2))
+    unread = [c for c in id_columns if c not in (*features, target, split)]
+    cached = rows.withColumns({"_fold": fold, "_row": row}).drop(*unread).persist(StorageLevel.MEMORY_AND_DISK)
+    train = cached.where(in_train)
     columns = [*features, target]
     by_fold: dict = {}
     grid = grid_trees.bins_of(train, features) if {"rf", "gbr"} & set(chosen) else None

@@ -156,6 +156,63 @@ def test_bags():
     assert (w[3] == G.bag_weights(row, 3)).all()
 
 
+def test_bag_weights_are_the_steps_of_a_poisson_number():
+    row = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 300_000)
+    x = (row.view(np.uint64) + np.uint64(8 * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    want = np.searchsorted(G._CHANCES, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
+    assert (G.bag_weights(row, 7) == want).all() and G.bag_weights(row, 7).dtype == np.uint8
+
+
+def test_bag_sums_come_once_per_place(spark, monkeypatch):
+    """However the rows lie and however many there are, a tree's sums are as many as its places; only a place too full for a task comes in parts."""
+    rng = np.random.default_rng(4)
+    at = np.r_[rng.integers(0, 40, 4000), np.full(6000, 7)]
+    y, row = rng.normal(size=10_000), rng.integers(0, 1 << 52, 10_000)
+    data = [(int(a), float(b), int(c)) for a, b, c in zip(at, y, row, strict=True)]
+    rows = spark.createDataFrame(data, "at int, y double, row long").repartition(9)
+    monkeypatch.setattr(G, "STRETCH", 64)
+    counts = np.bincount(at, minlength=50).astype(float)
+    parts = G.dealt(rows, counts, 500)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert parts.rdd.getNumPartitions() == 20 and max(sizes) < 1200
+    n, t, times = np.zeros((3, 50)), np.zeros((3, 50)), np.zeros((3, 50))
+    for r in parts.mapInArrow(G._bags(3), G.BAG).collect():
+        cells, own_n, own_t = G._unpacked(r["at"], r["n"], r["t"])
+        n[r["tree"], cells] += own_n
+        t[r["tree"], cells] += own_t
+        times[r["tree"], cells] += 1
+    for tree in range(3):
+        w = G.bag_weights(row, tree).astype(float)
+        assert (n[tree] == np.bincount(at, w, 50)).all() and np.allclose(t[tree], np.bincount(at, w * y, 50))
+    assert (np.delete(times, 7, axis=1) <= 1).all() and (times[:, 7] <= 20).all()
+
+
+def test_cells_of_odd_values(spark):
+    inf, tiny = float("inf"), 5e-324
+    values = [-inf, -1.0, -0.0, 0.0, tiny, 2 * tiny, 1.0, inf]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "a double")
+    grid = G.bins_of(df, ["a"])
+    cuts = grid.cuts[0]
+    assert np.isfinite(cuts).all() and list(cuts) == sorted(set(cuts))
+    found = [(r["a"], r["_cell"]) for r in grid.with_cell(df).collect()]
+    assert all(cell == sum(c <= a for c in cuts) for a, cell in found[:-2]) and [c for _, c in found[-2:]] == [None, None]
+    ends = dict(found[:-2])
+    assert ends[-inf] < ends[-1.0] and ends[1.0] < ends[inf]
+    zero = G.Grid(("a",), ((0.0,),)).with_cell(df).filter("a = 0")
+    assert [r["_cell"] for r in zero.collect()] == [1, 1]
+    one = df.filter("a = 1")
+    assert G.bins_of(one, ["a"]).with_cell(one).first()["_cell"] == 0
+
+
+def test_an_id_may_be_a_feature(spark):
+    df = hash_split(spark.createDataFrame([(i, float(i % 4), float(i // 50)) for i in range(200)], "id long, a double, y double"), ["id", "a"])
+    grids = {"rf": {"n_estimators": [2], "max_depth": [3], "min_samples_split": [2]}}
+    done = regress.train_models(df, ["id"], "y", ["id", "a"], enabled=["rf", "linreg"], grids=grids)
+    assert done.best_name == "rf" and done.leaderboard.count() == 2
+
+
 def test_more_features_than_a_grid_holds(spark):
     rng = np.random.default_rng(0)
     data = [(i, *map(float, rng.integers(0, 4, 5)), float(i % 3)) for i in range(120)]
